@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
@@ -26,7 +26,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i in 0..n."""
     global _power, _inverse
     if len(_power) <= n:
-        size = 1 << (n + 1).bit_length()
+        size = ((n >> 18) + 1) << 18  # in steps, so that few lengths are made
         made = []
         for b in (BASE, pow(BASE, -1, 1 << 64)):
             a = np.full(size, b, U64)
