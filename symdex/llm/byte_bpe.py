@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import Chunk, chunks, distinct, ragged
+from .kernel import Chunk, chunks, distinct, ragged, small_batches
 
 CHUNK_BYTES = 1 << 20
 BLOCK = 256
@@ -294,6 +294,7 @@ _ENCODED = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("offsets"
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids, offsets of each row."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf(_ENCODED)
     def run(texts: pa.Array) -> pa.Array:
@@ -309,6 +310,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and the text that the ids of each row stand for."""
+    small_batches(encoded.sparkSession)
 
     @F.arrow_udf(T.StringType())
     def run(ids: pa.Array) -> pa.Array:

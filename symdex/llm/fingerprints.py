@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
+from .kernel import small_batches
 
 LANES = 32
 _SPACE = " \t\v\f\r"
@@ -82,6 +83,7 @@ def _fingerprint(texts: pa.Array) -> pa.Array:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs, fingerprint (hex) of each row."""
+    small_batches(docs.sparkSession)
     made = docs.select(F.col(id_col).alias("doc_id"), _fingerprint(F.col(text_col)).alias("f"))
     return made.select("doc_id", F.col("f.n").alias("n_paragraphs"), F.col("f.print").alias("fingerprint"))
 

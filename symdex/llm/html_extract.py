@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .kernel import small_batches
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>|<[!?/][^>]*+>""", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style noscript template textarea iframe svg head title".split())
@@ -185,5 +187,6 @@ def _content(pages: pa.Array) -> pa.Array:
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, text, n_chars of each row."""
+    small_batches(pages.sparkSession)
     made = pages.select(F.col(id_col).alias("page_id"), _content(F.col(html_col)).alias("text"))
     return made.withColumn("n_chars", F.length("text"))

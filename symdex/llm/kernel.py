@@ -8,13 +8,17 @@ independent of the Python interpreter.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of an Arrow batch between the JVM and a Python worker, at most (beyond, a batch is one row).
+BATCH_BYTES = 4 << 20
 CHUNK_ROWS = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
@@ -36,6 +40,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power, _inverse
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Caps this session's Arrow batches, whose copies are most of what a worker holds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.match(r"\d+", spark.conf.get(key))[0])
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of MurmurHash3: a bijection of 64-bit words."""
     h = h ^ (h >> U64(33))

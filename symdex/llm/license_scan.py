@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, Chunk, chunks, lines, runs
+from .kernel import U64, Chunk, chunks, lines, runs, small_batches
 
 THRESHOLD = 0.8
 
@@ -142,6 +142,7 @@ class Index:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no (from 1), template, overlap, n_template of each match."""
+    small_batches(docs.sparkSession)
     words = sorted(set().union(*(tokens(t) for t in templates.values())))
     if not all(tokens(t) for t in templates.values()):
         raise ValueError("a template has no token")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
-from .kernel import U64, Chunk, chunks, lines, mix
+from .kernel import U64, Chunk, chunks, lines, mix, small_batches
 
 BITS_PER_LINE = 16
 HASHES = 4
@@ -195,6 +195,7 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """``docs`` with each line only where it occurs first; columns as they were."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.col(text_col)
     n = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
     size = max(BLOCK_BITS, 1 << max(0, int(n * BITS_PER_LINE) - 1).bit_length())

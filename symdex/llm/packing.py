@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .kernel import chunks, runs
+from .kernel import chunks, runs, small_batches
 
 CAPACITY = 2048
 #: The plan is broadcast up to this many rows; beyond, the join shuffles.
@@ -126,6 +126,7 @@ def _cutter(capacity: int):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_broadcast: int = MAX_BROADCAST_PLAN) -> DataFrame:
     """One row for each piece: bin_id, bin_offset, doc_id, piece, n_words, text."""
     spark = docs.sparkSession
+    small_batches(spark)
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def counted(df: DataFrame, buckets: int) -> DataFrame:

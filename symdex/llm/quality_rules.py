@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
-from .kernel import U64, Chunk, chunks, runs
+from .kernel import U64, Chunk, chunks, runs, small_batches
 
 #: Rows of the sample on which cost and selectivity are estimated, as the aim.
 SAMPLE_ROWS = 2000
@@ -164,6 +164,7 @@ def order(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
 
 def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects; columns as they were."""
+    small_batches(docs.sparkSession)
     cascade = [rule for rule, *_ in order(docs, text_col, rules, rows)]
 
     @F.arrow_udf(T.BooleanType())

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
-from .kernel import U64, chunks, mix, ragged, runs
+from .kernel import U64, chunks, mix, ragged, runs, small_batches
 
 RADIUS = 7
 CHECK_RADIUS = 12
@@ -212,6 +212,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     A row is known by (id, row_hash); ``copies`` counts rows equal in both.
     The row whose (id, row_hash) is (keep_id, keep_hash) stays.
     """
+    small_batches(docs.sparkSession)
     signed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), _signature(F.col(text_col)).alias("s"))
     signed = scratch.table(signed.select("id", "row_hash", "s.a", "s.b"), "signatures").where("a IS NOT NULL")
     signed = signed.withColumn("node", _node("a", "b"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import chunks, distinct
+from .kernel import chunks, distinct, small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -139,4 +139,5 @@ def n_tokens(text, path: str):
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens of each row."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), n_tokens(F.col(text_col), path).alias("n_tokens"))

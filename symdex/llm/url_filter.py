@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
-from .kernel import U64, chunks
+from .kernel import U64, chunks, small_batches
 
 ORDER = 5
 HELD_OUT = 10
@@ -183,6 +183,7 @@ def threshold(histogram: list[tuple[float, int, int]]) -> float:
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """page_id, url, rejected_seed, score, kept of each row."""
+    small_batches(pages.sparkSession)
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.coalesce(_rejected(url), F.lit(False)).alias("rejected_seed"), F.nullif(_prepared(url), F.lit("")).alias("__sx_url"))
     held_out = F.pmod(F.xxhash64("__sx_url"), F.lit(HELD_OUT)) == 0
