@@ -82,7 +82,7 @@ def _hits(c: Chunk, table: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, n
     h = c.hashes(first, last)
     k = np.minimum(np.searchsorted(table, h), len(table) - 1)
     known = np.flatnonzero(table[k] == h)
-    line = np.searchsorted(end, first[known])  # lines tile the chunk in order, so ends ascend
+    line = np.searchsorted(end, first[known], "right")  # ends ascend, and one row's last is the next one's start
     pair = np.unique(line * len(table) + which[k[known]])
     return row, start, end, pair // len(table), pair % len(table)
 
