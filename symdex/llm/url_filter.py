@@ -15,7 +15,7 @@ model minus that under the rejected one, divided by its length in bytes.
 Which URLs train as rejected is told by ``REJECTED_WORDS`` in the host; all
 others train as accepted.  A tenth of the URLs, by hash, isn't trained on: the
 threshold is the score at which the sum of the two classes' error rates on it
-is least (the middle of the range where it is; 0 if it lacks a class).
+is least (the middle of the widest range where it is; 0 if it lacks a class).
 
 Counts are of (gram, class) and grow with the table.  The model is broadcast up
 to ``MAX_BROADCAST`` grams; beyond that, URLs are cut into buckets, the grams
@@ -176,9 +176,14 @@ def threshold(histogram: list[tuple[float, int, int]]) -> float:
         lost, caught = lost + a, caught + r
         high = rows[k + 1][0] if k + 1 < len(rows) else s + 1
         cuts.append((lost / accepted + (rejected - caught) / rejected, s, high))
-    least = min(c[0] for c in cuts)
-    best = [c for c in cuts if c[0] == least]
-    return (best[0][1] + best[-1][2]) / 2
+    least = min(c[0] for c in cuts) + 1e-12
+    ranges: list[tuple[float, float]] = []
+    for k, (error, low, high) in enumerate(cuts):
+        if error <= least:
+            joined = bool(k) and cuts[k - 1][0] <= least
+            ranges.append((ranges.pop()[0] if joined else low, high))
+    low, high = max(ranges, key=lambda x: x[1] - x[0])
+    return (low + high) / 2
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
