@@ -52,7 +52,7 @@ def _term(post: DataFrame, term: list[str], k: int) -> DataFrame:
     parts = [post.where(F.col("token") == t) for t in term[:-1]] + [post.where(F.col("token").startswith(term[-1]))]
     at = parts[0].select("doc", "dl", F.explode("positions").alias("p"))
     for i, part in enumerate(parts[1:], 1):
-        nxt = part.select("doc", (F.explode("positions") - i).alias("p"))
+        nxt = part.select("doc", F.explode("positions").alias("p")).withColumn("p", F.col("p") - i)
         at = at.join(nxt, ["doc", "p"])
     return at.groupBy("doc", "dl").agg(F.count(F.lit(1)).alias("tf")).withColumn("term", F.lit(k))
 
