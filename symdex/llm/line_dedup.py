@@ -27,8 +27,6 @@ is one, is set to the new length.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,14 +47,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def hashed_lines(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number within the row and hash of each line that isn't blank."""
+def _said(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of each row, and place among all lines of the chunk and hash of each that isn't blank."""
     row, start, end = lines(c)
     full = np.concatenate([[0], np.cumsum(~_SPACE[c.data])])
-    number = np.arange(len(row)) - np.searchsorted(row, np.arange(c.rows))[row]
-    said = full[end] > full[start]
-    row, number, start, end = row[said], number[said], start[said], end[said]
-    return row, number, c.hashes(start, end)
+    at = np.flatnonzero(full[end] > full[start])
+    return np.bincount(row, minlength=c.rows), at, c.hashes(start[at], end[at])
 
 
 def bits_of(h: np.ndarray, size: int) -> np.ndarray:
@@ -90,7 +86,7 @@ def _set_bits(size: int):
 
         for batch in batches:
             for c in chunks(batch.column(0)):
-                h = hashed_lines(c)[2]
+                h = _said(c)[2]
                 held.append(_own(bits_of(h, size)).ravel())
                 n += len(h)
                 if n > 1 << 21:
@@ -121,31 +117,41 @@ def twice_filter(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _flags(counts: list[np.ndarray], found: list[np.ndarray]) -> pa.Array:
+    """A list of booleans for each row."""
+    cuts = np.cumsum(np.concatenate([np.zeros(1, np.int64), *counts]))
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(found or [np.zeros(0, bool)])))
+
+
 def _probe(size: int, held):
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    """Whether each line of a text is suspected to repeat."""
+
+    @F.arrow_udf(T.ArrayType(T.BooleanType()))
     def suspects(texts: pa.Array) -> pa.Array:
-        bits, counts, found = held.value, np.zeros(len(texts), np.int64), []
+        bits, counts, found = held.value, [], []
         for c in chunks(texts):
-            row, number, h = hashed_lines(c)
+            total, at, h = _said(c)
             p = bits_of(h, size)
             hit = ((bits[p >> U64(3)] >> (p & U64(7)).astype(np.uint8)) & 1).all(axis=0)
-            counts[c.first : c.first + c.rows] = np.bincount(row[hit], minlength=c.rows)
-            found.append(number[hit])
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))
+            flags = np.zeros(int(total.sum()), bool)
+            flags[at[hit]] = True
+            counts.append(total)
+            found.append(flags)
+        return _flags(counts, found)
 
-    return suspects
+    return suspects.asNondeterministic()  # else it is run again for a filter on its result
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
 def _all_lines(texts: pa.Array) -> pa.Array:
-    counts, found = np.zeros(len(texts), np.int64), []
+    counts, found = [], []
     for c in chunks(texts):
-        row, number, _ = hashed_lines(c)
-        counts[c.first : c.first + c.rows] = np.bincount(row, minlength=c.rows)
-        found.append(number)
-    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))
+        total, at, _ = _said(c)
+        flags = np.zeros(int(total.sum()), bool)
+        flags[at] = True
+        counts.append(total)
+        found.append(flags)
+    return _flags(counts, found)
 
 
 def _sharded_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -156,8 +162,8 @@ def _sharded_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
         for batch in batches:
             ids, own, texts = (batch.column(k) for k in range(3))
             for c in chunks(texts):
-                row, _, h = hashed_lines(c)
-                at = pa.array(row + c.first)
+                total, place, h = _said(c)
+                at = pa.array(np.repeat(np.arange(c.rows), total)[place] + c.first)
                 yield pa.RecordBatch.from_arrays([pa.array((mix(h) % U64(shards)).astype(np.int64)), pa.array(h.view(np.int64)), ids.take(at), own.take(at)], ["shard", "h", "id", "row_hash"])
 
     def find(rows: pa.Table) -> pa.Table:
@@ -178,7 +184,7 @@ def _sharded_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
 
 
 @F.arrow_udf(T.StructType().add("text", "string").add("left", "boolean"))
-def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+def _edited(texts: pa.Array, gone: pa.Array) -> pa.Array:
     made, left = [], []
     for text, numbers in zip(texts.to_pylist(), gone.to_pylist()):
         if numbers:
@@ -192,38 +198,40 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(made, pa.string()), pa.array(left)], ["text", "left"])
 
 
+_without = _edited.asNondeterministic()  # run once, not again for the filter on what is left
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """``docs`` with each line only where it occurs first; columns as they were."""
     spark = docs.sparkSession
     small_batches(spark)
     text = F.col(text_col)
-    n = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
+    n = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)).first()[0] or 0
     size = max(BLOCK_BITS, 1 << max(0, int(n * BITS_PER_LINE) - 1).bit_length())
-    names = {k: f"__sx_{k}_{uuid.uuid4().hex[:8]}" for k in ("suspects", "uid", "own")}
+    flags, uid, own, new = (scratch.fresh(k) for k in ("flags", "uid", "own", "new"))
     if size // 8 <= max_filter_bytes:
-        held = spark.sparkContext.broadcast(twice_filter(docs.select(text), size))
-        marked = docs.withColumn(names["suspects"], _probe(size, held)(text))
+        held = spark.sparkContext.broadcast(twice_filter(docs.select(text.alias("text")), size))
+        marked = docs.withColumn(flags, _probe(size, held)(text))
     else:
         rows = scratch.table(_sharded_rows(docs, id_col, text_col, n), "rows")
-        d = docs.withColumn(names["own"], F.xxhash64(text_col))
-        hit = d[id_col].eqNullSafe(rows["id"]) & (d[names["own"]] == rows["row_hash"])
-        marked = d.join(rows, hit, "left").withColumn(names["suspects"], F.when(F.col("row_hash").isNotNull(), _all_lines(d[text_col])))
-        marked = marked.select(*[d[c] for c in docs.columns], names["suspects"])
-    none = F.coalesce(F.size(names["suspects"]), F.lit(0)) <= 0
-    calm = marked.where(none).select(*docs.columns)
-    some = scratch.table(marked.where(~none).withColumn(names["uid"], F.monotonically_increasing_id()), "suspects")
-
-    split = F.split(F.col(text_col), "\n", -1)
-    one = some.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(names["uid"]).alias("uid"), F.explode(F.transform(names["suspects"], lambda i: F.struct(i.alias("no"), F.element_at(split, i + 1).alias("line")))).alias("x"))
-    one = one.select("id", "own", "uid", "x.no", "x.line")
+        d = docs.withColumn(own, F.xxhash64(text_col))
+        hit = d[id_col].eqNullSafe(rows["id"]) & (d[own] == rows["row_hash"])
+        joined = d.join(rows, hit, "left")
+        marked = joined.select(*scratch.columns(d)[:-1], F.when(rows["row_hash"].isNotNull(), _all_lines(d[text_col])).alias(flags))
+    suspected = F.coalesce(F.array_contains(flags, True), F.lit(False))
+    calm = marked.where(~suspected).drop(flags)
+    some = scratch.table(marked.where(suspected).withColumn(uid, F.monotonically_increasing_id()), "suspects")
+
+    line = F.zip_with(F.split(F.col(text_col), "\n", -1), F.col(flags), lambda x, hit: F.struct(x.alias("line"), hit.alias("hit")))
+    listed = F.filter(F.transform(line, lambda x, i: F.struct(i.alias("no"), x["line"].alias("line"), x["hit"].alias("hit"))), lambda x: x["hit"])
+    one = some.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(uid).alias("uid"), F.explode(listed).alias("x")).select("id", "own", "uid", "x.no", "x.line")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "no", "own", "uid")
     first = one.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("line", F.col("first.uid").alias("first_uid"), F.col("first.no").alias("first_no"))
     gone = one.join(first, "line").where("uid <> first_uid OR no <> first_no").groupBy("uid").agg(F.collect_list("no").alias("gone"))
 
-    edited = some.join(gone, some[names["uid"]] == gone["uid"], "left").withColumn("__sx_new", _without(F.col(text_col), F.col("gone")))
-    edited = edited.withColumn("__sx_left", F.col("__sx_new.left")).where("__sx_left")
-    new = {text_col: F.col("__sx_new.text")}
+    edited = some.join(gone, some[uid] == gone["uid"], "left").select(*scratch.columns(some), gone["gone"].alias(own))
+    edited = edited.withColumn(new, _without(F.col(text_col), F.col(own))).where(F.col(f"{new}.left"))
+    made = {text_col: F.col(f"{new}.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("gone").isNull(), some["n_chars"]).otherwise(F.length("__sx_new.text")).cast(docs.schema["n_chars"].dataType)
-    edited = edited.select(*[new[c].alias(c) if c in new else some[c] for c in docs.columns])
-    return calm.unionByName(edited)
+        made["n_chars"] = F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length(f"{new}.text")).cast(docs.schema["n_chars"].dataType)
+    return calm.unionByName(edited.withColumns(made).drop(flags, uid, own, new))

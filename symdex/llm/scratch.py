@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 
@@ -40,3 +40,13 @@ def release(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"__sx_{name}_{uuid.uuid4().hex[:12]}"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` whatever their names hold."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in df.columns]
