@@ -2,19 +2,21 @@
 
 A document's features are its distinct words, lower-cased, as runs of ASCII
 letters, digits and non-ASCII bytes (a character of a script written without
-spaces is a word).  Its signature is two 64-bit SimHash words: for each bit the
-majority of the features' hashes.  Two documents are near duplicates if the
-first words differ in at most ``RADIUS`` bits and the second words in at most
-``CHECK_RADIUS``.
-
-Search is exact for that definition.  Following covering LSH, bit *i* of the
-first word gets a vector m(i) of RADIUS + 1 bits; each non-zero vector v gives
-a mask of the bits with <m(i), v> odd.  Any RADIUS differing bits put at most
-RADIUS linear constraints on v, so some non-zero v avoids them all and the pair
-agrees under that mask: 2**(RADIUS + 1) - 1 tables find every pair, each with a
-key of about 32 bits that keeps chance collisions rare.  Every signature is a
-query; no bucket is capped.  A bucket gives a spanning forest of its pairs (not
-its pairs, of which a group of thousands has millions), and groups are the
+spaces begins a word).  Its signature is WORDS SimHash words of 64 bits: for each
+bit the majority of the features' hashes.  Two documents are near duplicates if
+some word k of theirs differs in at most ``RADIUS`` bits and the next word (the
+first after the last) in at most ``CHECK_RADIUS``: several words with a small
+radius each find pairs that one word with a large radius loses by chance, in
+as many tables.
+
+Search is exact for that definition.  Following covering LSH, bit *i* of a
+word gets a vector m(i) of RADIUS + 1 bits; each non-zero vector v gives a mask
+of the bits with <m(i), v> odd.  Any RADIUS differing bits put at most RADIUS
+linear constraints on v, so some non-zero v avoids them all and the pair agrees
+under that mask: 2**(RADIUS + 1) - 1 tables for each word find every pair, each
+with a key of about 32 bits that keeps chance collisions rare.  Every signature
+is a query; no bucket is capped.  A bucket gives a spanning forest of its pairs
+(not its pairs, of which a group of thousands has millions), and groups are the
 connected components of all forests.
 
 Cases: null, empty and word-less texts match nothing; documents of equal word
@@ -35,16 +37,19 @@ from pyspark.sql import types as T
 from . import scratch
 from .kernel import U64, chunks, mix, ragged, runs, small_batches
 
-RADIUS = 7
-CHECK_RADIUS = 12
+WORDS = 4
+RADIUS = 5
+CHECK_RADIUS = 14
 #: Signatures that one task takes of a table, as the aim.
 SHARD = 1 << 20
+#: Tables of one word that a task makes from one copy of the signatures, while a task can hold them all.
+TOGETHER = 4
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _ALONE = np.zeros(256, bool)
 _ALONE[[*range(0xE3, 0xEE), *range(0xF0, 0xF5)]] = True
-_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 #: A byte's bits, each in a byte of its own.
 _LANES = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], U64)
 
@@ -60,8 +65,8 @@ def masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
 
 
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two words for each text, and whether it has any feature."""
-    words = np.zeros((len(texts), 2), U64)
+    """WORDS words for each text, and whether it has any feature."""
+    words = np.zeros((len(texts), WORDS), U64)
     has = np.zeros(len(texts), bool)
     for c in chunks(pc.utf8_lower(texts)):
         starts, ends = runs(c, _WORD[c.data], _ALONE[c.data])
@@ -76,33 +81,35 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         of, k = ragged(blocks)
         at = first[of] + 255 * k
         block_of_row = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-        ones = np.empty((len(rows), 16, 8), np.int64)
+        ones = np.empty((len(rows), 8 * WORDS, 8), np.int64)
         for w, seed in enumerate(_SEEDS):
             each = mix(feature ^ U64(seed)).view(np.uint8).reshape(-1, 8)
             for j in range(8):
                 lanes = np.add.reduceat(_LANES[each[:, j]], at)
                 ones[:, 8 * w + j] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), block_of_row, axis=0)
-        bits = (2 * ones > count[:, None, None]).reshape(len(rows), 128)
+        bits = (2 * ones > count[:, None, None]).reshape(len(rows), 64 * WORDS)
         words[c.first + rows] = np.packbits(bits, axis=1, bitorder="little").view(U64)
         has[c.first + rows] = True
     return words, has
 
 
-@F.arrow_udf(T.StructType().add("a", "long").add("b", "long"))
-def _signature(texts: pa.Array) -> pa.Array:
-    words, has = signatures(texts)
-    both = [pa.array(words[:, k].view(np.int64)) for k in (0, 1)]
-    return pa.StructArray.from_arrays(both, ["a", "b"], mask=pa.array(~has))
+_COLUMNS = [f"w{k}" for k in range(WORDS)]
+_SIGNATURE = T.StructType([T.StructField(c, T.LongType()) for c in [*_COLUMNS, "node"]])
 
 
-def node(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 64-bit name for a signature."""
-    return mix(a ^ mix(b ^ U64(_SEEDS[0]))).view(np.int64)
+@F.arrow_udf(_SIGNATURE)
+def _signature(texts: pa.Array) -> pa.Array:
+    words, has = signatures(texts)
+    each = [pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(WORDS)]
+    return pa.StructArray.from_arrays([*each, pa.array(node(words))], _SIGNATURE.names, mask=pa.array(~has))
 
 
-@F.arrow_udf(T.LongType())
-def _node(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array(node(a.to_numpy().view(U64), b.to_numpy().view(U64)))
+def node(words: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each signature."""
+    h = np.full(len(words), _SEEDS[0], U64)
+    for k in range(WORDS):
+        h = mix(words[:, k] ^ mix(h))
+    return h.view(np.int64)
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,11 +130,11 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_forest(a: np.ndarray, b: np.ndarray, mask: int, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_forest(a: np.ndarray, b: np.ndarray, name: np.ndarray, mask: int, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the signatures of one table, all pairs in a bucket are compared; edges to each component's first."""
     key = a & U64(mask)
     order = np.argsort(key)
-    key, a, b = key[order], a[order], b[order]
+    key, a, b, name = key[order], a[order], b[order], name[order]
     n = len(key)
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     end = np.repeat(np.append(edge[1:], n), np.diff(np.append(edge, n)))
@@ -143,42 +150,48 @@ def bucket_forest(a: np.ndarray, b: np.ndarray, mask: int, radius: int, check: i
     used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
     root = used[components(len(used), place[: len(left)], place[len(left) :])]
     far = used != root
-    name = node(a, b)
     return name[used[far]], name[root[far]]
 
 
 def edges(signed: DataFrame, n: int, radius: int = RADIUS, check: int = CHECK_RADIUS) -> DataFrame:
-    """Pairs of nodes (u, v), u > v, whose components are the groups; ``signed`` has distinct a, b."""
+    """Pairs of nodes (u, v), u > v, whose components are the groups; ``signed`` has distinct signatures.
+
+    While a task can hold all signatures, each copy of them serves TOGETHER
+    tables of a word; beyond, every table is cut into shards by its keys.
+    """
     table = masks(radius)
     shards = max(1, -(-n // SHARD))
+    groups_ = [table[i : i + TOGETHER] for i in range(0, len(table), TOGETHER)] if shards == 1 else [table[i : i + 1] for i in range(len(table))]
 
     def spread(batches):
         for batch in batches:
-            a, b = (batch.column(k).to_numpy().view(U64) for k in (0, 1))
-            if shards == 1:
-                whole = np.stack([a, b], axis=1).tobytes()
-                for t in range(len(table)):
-                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([whole], pa.binary())], ["part", "packed"])
-                continue
-            for t, m in enumerate(table):
-                to = (mix((a & m) ^ U64(t + 1)) % U64(shards)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                both = np.stack([a[order], b[order]], axis=1)
-                cut = np.searchsorted(to[order], np.arange(shards + 1))
-                own = [s for s in range(shards) if cut[s] < cut[s + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t * shards + s for s in own], pa.int64()), pa.array([both[cut[s] : cut[s + 1]].tobytes() for s in own], pa.binary())], ["part", "packed"]
-                )
+            words = [batch.column(k).to_numpy().view(U64) for k in range(WORDS)]
+            name = batch.column(WORDS).to_numpy().view(U64)
+            for w in range(WORDS):
+                own = np.stack([words[w], words[(w + 1) % WORDS], name], axis=1)
+                if shards == 1:
+                    whole, parts = own.tobytes(), range(w * len(groups_), (w + 1) * len(groups_))
+                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([whole] * len(parts), pa.binary())], ["part", "packed"])
+                    continue
+                for t, m in enumerate(table, w * len(table)):
+                    to = (mix((words[w] & m) ^ U64(t + 1)) % U64(shards)).astype(np.int64)
+                    order = np.argsort(to, kind="stable")
+                    placed, cut = own[order], np.searchsorted(to[order], np.arange(shards + 1))
+                    some = [s for s in range(shards) if cut[s] < cut[s + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([t * shards + s for s in some], pa.int64()), pa.array([placed[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary())], ["part", "packed"])
 
     def search(rows: pa.Table) -> pa.Table:
         part = rows.column("part")[0].as_py()
-        both = np.frombuffer(b"".join(rows.column("packed").to_pylist()), U64).reshape(-1, 2)
-        u, v = bucket_forest(both[:, 0], both[:, 1], int(table[part // shards]), radius, check)
-        pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-        return pa.table({"u": pa.array(pair[:, 0]), "v": pa.array(pair[:, 1])})
+        a, b, name = np.frombuffer(b"".join(rows.column("packed").to_pylist()), U64).reshape(-1, 3).T
+        found = [np.zeros((0, 2), np.int64)]
+        for mask in groups_[part // shards % len(groups_)]:
+            u, v = (x.view(np.int64) for x in bucket_forest(a, b, name, int(mask), radius, check))
+            found.append(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1))
+        pair = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"u": pa.array(np.ascontiguousarray(pair[:, 0])), "v": pa.array(np.ascontiguousarray(pair[:, 1]))})
 
     tasks = max(signed.sparkSession.sparkContext.defaultParallelism, shards)
-    packed = signed.select("a", "b").repartition(tasks).mapInArrow(spread, "part bigint, packed binary")
+    packed = signed.select(*_COLUMNS, "node").repartition(tasks).mapInArrow(spread, "part bigint, packed binary")
     return packed.groupBy("part").applyInArrow(search, "u bigint, v bigint").distinct()
 
 
@@ -214,9 +227,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     """
     small_batches(docs.sparkSession)
     signed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), _signature(F.col(text_col)).alias("s"))
-    signed = scratch.table(signed.select("id", "row_hash", "s.a", "s.b"), "signatures").where("a IS NOT NULL")
-    signed = signed.withColumn("node", _node("a", "b"))
-    points = scratch.table(signed.select("a", "b").distinct(), "points")
+    signed = scratch.table(signed.select("id", "row_hash", "s.*"), "signatures").where("node IS NOT NULL")
+    points = scratch.table(signed.select(*_COLUMNS, "node").distinct(), "points")
     root = connect(edges(points, points.count(), radius, check))
     rooted = signed.join(root, "node", "left").select("id", "row_hash", F.coalesce("root", "node").alias("group_node"))
     rows = rooted.groupBy("group_node", "id", "row_hash").agg(F.count(F.lit(1)).alias("copies"))
@@ -237,10 +249,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``docs`` with one row of each group; columns as they were."""
     g = groups(docs, id_col, text_col)
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash"))
-    marked = g.select(F.col("id").alias("__sx_id"), F.col("row_hash").alias("__sx_hash"), stays.alias("__sx_stays"), F.col("copies").alias("__sx_copies")).where("NOT __sx_stays OR __sx_copies > 1")
+    id_, hash_, stay, n, own = (scratch.fresh(k) for k in ("id", "hash", "stay", "n", "own"))
+    marked = g.select(F.col("id").alias(id_), F.col("row_hash").alias(hash_), stays.alias(stay), F.col("copies").alias(n)).where(~F.col(stay) | (F.col(n) > 1))
     marked = scratch.table(marked, "gone")
-    d = docs.withColumn("__sx_own", F.xxhash64(text_col))
-    joined = d.join(marked, d[id_col].eqNullSafe(marked["__sx_id"]) & (d["__sx_own"] == marked["__sx_hash"]), "left")
-    single = joined.where("__sx_stays IS NULL").select(*docs.columns)
-    several = joined.where("__sx_stays").dropDuplicates([id_col, "__sx_own"]).select(*docs.columns)
+    d = docs.withColumn(own, F.xxhash64(text_col))
+    joined = d.join(marked, d[id_col].eqNullSafe(marked[id_]) & (d[own] == marked[hash_]), "left")
+    single = joined.where(F.col(stay).isNull()).drop(id_, hash_, stay, n, own)
+    several = joined.where(F.col(stay)).dropDuplicates([id_col, own]).drop(id_, hash_, stay, n, own)
     return single.unionByName(several)
