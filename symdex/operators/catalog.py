@@ -68,22 +68,24 @@ def list_members(members: DataFrame, types: DataFrame, files: DataFrame, type_id
     return _with_path(joined.orderBy("kind", "name", "id").limit(limit), files)
 
 
-def counted(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
-    """Parents with the number of their children, 0 included."""
+def counted(parents: DataFrame, children: DataFrame, key: str, name: str, few: bool = False) -> DataFrame:
+    """Parents with the number of their children, 0 included; ``few`` parents (at most 500) are sent to their children."""
+    if few:
+        children = children.join(F.broadcast(parents.select(F.col("id").alias("_few"))), F.col(key) == F.col("_few"), "left_semi")
     n = children.groupBy(F.col(key).alias("_parent")).agg(F.count(F.lit(1)).alias("_n"))
     return parents.join(n, parents["id"] == F.col("_parent"), "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_parent", "_n")
 
 
 def list_types(types: DataFrame, members: DataFrame, limit: int = 500) -> DataFrame:
     """The first types by full name; only their members are counted."""
-    some = types.orderBy("full_name", "id").limit(limit)
-    return counted(some, members, "type_id", "member_count").select("id", "full_name", "name", "kind", "accessibility", "summary", "member_count")
+    some = types.orderBy("full_name", "id").limit(clamp(limit, 1, 500))
+    return counted(some, members, "type_id", "member_count", few=True).select("id", "full_name", "name", "kind", "accessibility", "summary", "member_count")
 
 
 def list_projects(projects: DataFrame, types: DataFrame, files: DataFrame, limit: int = 200) -> DataFrame:
     some = projects.orderBy("name", "id").limit(clamp(limit, 1, 500))
-    some = counted(some, types, "project_id", "type_count")
-    return counted(some, files, "project_id", "file_count").select("id", "name", "path", "target_framework", "is_test", "type_count", "file_count")
+    some = counted(some, types, "project_id", "type_count", few=True)
+    return counted(some, files, "project_id", "file_count", few=True).select("id", "name", "path", "target_framework", "is_test", "type_count", "file_count")
 
 
 def status(projects: DataFrame, files: DataFrame, types: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:

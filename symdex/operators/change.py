@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 REASONS_SHOWN = 5
 
@@ -43,8 +44,10 @@ def stale_projects(projects: DataFrame, indexed: DataFrame, current: DataFrame,
         own = projects.select("id", "file_hash").join(now, F.col("id") == F.col("_id"), "left")
         reason = F.when(F.col("_id").isNull(), "missing").when(~F.col("_now").eqNullSafe(F.col("file_hash")), "changed")
         changes = changes.unionByName(own.select("id", F.concat(reason, F.lit(" project file")).alias("what"), reason.alias("reason")).where("reason IS NOT NULL"))
-    found = changes.groupBy("id").agg(*[F.count_if(F.col("reason") == r).alias(f"{r}_files") for r in ("missing", "changed", "new")], F.count(F.lit(1)).alias("changes"), F.slice(F.sort_array(F.collect_list("what")), 1, REASONS_SHOWN).alias("reasons"))
-    return found.join(projects.select("id", "name"), "id").select("id", "name", "missing_files", "changed_files", "new_files", "changes", F.array_join("reasons", "; ").alias("reasons"))
+    found = changes.groupBy("id").agg(*[F.count_if(F.col("reason") == r).alias(f"{r}_files") for r in ("missing", "changed", "new")], F.count(F.lit(1)).alias("changes"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("what"))
+    shown = changes.withColumn("_k", rank).where(F.col("_k") <= REASONS_SHOWN).groupBy("id").agg(F.sort_array(F.collect_list("what")).alias("reasons"))
+    return found.join(shown, "id").join(projects.select("id", "name"), "id").select("id", "name", "missing_files", "changed_files", "new_files", "changes", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def is_stale(stale: DataFrame, solution_there: bool = True) -> DataFrame:

@@ -44,12 +44,14 @@ def to_edges(owners: DataFrame) -> DataFrame:
 def sequence(rows: DataFrame, by: list[str], name: str = "edge_seq") -> DataFrame:
     """Numbers rows from 1 by columns: ranks within hash ranges of the first column, offset by the ranges' counts.
 
-    The order is total over (range of the first column, ``by``); a row's number
-    is stable as long as the rows are the same.
+    The order is total over (range of the first column, ``by``).  There are as
+    many ranges as shuffle partitions, so that none outgrows a task; numbers
+    are given once, when an index is built, and stored with it.
     """
-    keyed = rows.withColumn("_range", F.pmod(F.xxhash64(by[0]), F.lit(64)))
+    ranges = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = rows.withColumn("_range", F.pmod(F.xxhash64(by[0]), F.lit(ranges)))
     counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # 64 rows
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each range
     ranked = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*by)))
     return ranked.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_k")).drop("_range", "_before", "_k")
 
