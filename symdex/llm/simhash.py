@@ -4,17 +4,19 @@ A document's features are its distinct words, lower-cased, as runs of ASCII
 letters, digits and non-ASCII bytes (a character of a script written without
 spaces begins a word).  Its signature is WORDS SimHash words of 64 bits: for each
 bit the majority of the features' hashes.  Two documents are near duplicates if
-some word k of theirs differs in at most ``RADIUS`` bits and the next word (the
-first after the last) in at most ``CHECK_RADIUS``: several words with a small
-radius each find pairs that one word with a large radius loses by chance, in
-as many tables.
+some word k of theirs differs in at most ``RADIUS`` bits, the next word (the
+first after the last) in at most ``CHECK_RADIUS`` and all words together in at
+most ``TOTAL``: several words each find pairs that one word loses by chance,
+and all bits tell near from unlike where one word is alike by chance.
 
 Search is exact for that definition.  Following covering LSH, bit *i* of a
 word gets a vector m(i) of RADIUS + 1 bits; each non-zero vector v gives a mask
 of the bits with <m(i), v> odd.  Any RADIUS differing bits put at most RADIUS
 linear constraints on v, so some non-zero v avoids them all and the pair agrees
 under that mask: 2**(RADIUS + 1) - 1 tables for each word find every pair, each
-with a key of about 32 bits that keeps chance collisions rare.  Every signature
+with a key of about 32 bits that keeps chance collisions rare.  Tables that
+share bits can also share a sharding by them, as a pair that agrees under a
+mask agrees in any part of it.  Every signature
 is a query; no bucket is capped.  A bucket gives a spanning forest of its pairs
 (not its pairs, of which a group of thousands has millions), and groups are the
 connected components of all forests.
@@ -27,6 +29,9 @@ doc_id and text any one).  Extra columns pass through.
 
 from __future__ import annotations
 
+import gc
+from functools import partial, reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,12 +43,14 @@ from . import scratch
 from .kernel import U64, chunks, mix, ragged, runs, small_batches
 
 WORDS = 4
-RADIUS = 5
-CHECK_RADIUS = 14
+RADIUS = 8
+CHECK_RADIUS = 16
+#: Bits of all words in which near copies differ at most.
+TOTAL = 44
 #: Signatures that one task takes of a table, as the aim.
 SHARD = 1 << 20
 #: Tables of one word that a task makes from one copy of the signatures, while a task can hold them all.
-TOGETHER = 4
+TOGETHER = 64
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -64,6 +71,22 @@ def masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
     return (odd.astype(U64) << np.arange(bits, dtype=U64)[None, :]).sum(axis=1, dtype=U64)
 
 
+def sharded(table: np.ndarray, shards: int) -> list[np.ndarray]:
+    """The masks in groups of at least 16 values a shard in the bits that a group's masks share, where a mask has so many."""
+    least, left, out = (16 * shards - 1).bit_length(), list(table), []
+    while left:
+        own = [left.pop(0)]
+        common = own[0]
+        while left:
+            k = max(range(len(left)), key=lambda i: int(common & left[i]).bit_count())
+            if int(common & left[k]).bit_count() < least:
+                break
+            common &= left[k]
+            own.append(left.pop(k))
+        out.append(np.array(own, U64))
+    return out
+
+
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """WORDS words for each text, and whether it has any feature."""
     words = np.zeros((len(texts), WORDS), U64)
@@ -130,11 +153,14 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_forest(a: np.ndarray, b: np.ndarray, name: np.ndarray, mask: int, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the signatures of one table, all pairs in a bucket are compared; edges to each component's first."""
-    key = a & U64(mask)
+def bucket_forest(words: np.ndarray, name: np.ndarray, mask: int, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the signatures of one table, all pairs in a bucket are compared; edges to each component's first.
+
+    ``words`` has a row for each word, the table's own first.
+    """
+    key = words[0] & U64(mask)
     order = np.argsort(key)
-    key, a, b, name = key[order], a[order], b[order], name[order]
+    key, a, name = key[order], words[0][order], name[order]
     n = len(key)
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     end = np.repeat(np.append(edge[1:], n), np.diff(np.append(edge, n)))
@@ -143,7 +169,9 @@ def bucket_forest(a: np.ndarray, b: np.ndarray, name: np.ndarray, mask: int, rad
     while len(i):
         k += 1
         i = i[i + k < end[i]]
-        near = i[(np.bitwise_count(a[i] ^ a[i + k]) <= radius) & (np.bitwise_count(b[i] ^ b[i + k]) <= check)]
+        near = i[np.bitwise_count(a[i] ^ a[i + k]) <= radius]
+        apart = np.bitwise_count(words[:, order[near]] ^ words[:, order[near + k]])
+        near = near[(apart[1] <= check) & (apart.sum(axis=0, dtype=np.int64) <= TOTAL)]
         left.append(near)
         right.append(near + k)
     left, right = np.concatenate(left), np.concatenate(right)
@@ -157,24 +185,25 @@ def edges(signed: DataFrame, n: int, radius: int = RADIUS, check: int = CHECK_RA
     """Pairs of nodes (u, v), u > v, whose components are the groups; ``signed`` has distinct signatures.
 
     While a task can hold all signatures, each copy of them serves TOGETHER
-    tables of a word; beyond, every table is cut into shards by its keys.
+    tables of a word; beyond, tables are cut into shards by the bits they
+    share, one word after another, so that disk holds the copies of one word.
     """
     table = masks(radius)
     shards = max(1, -(-n // SHARD))
-    groups_ = [table[i : i + TOGETHER] for i in range(0, len(table), TOGETHER)] if shards == 1 else [table[i : i + 1] for i in range(len(table))]
+    groups_ = [table[i : i + TOGETHER] for i in range(0, len(table), TOGETHER)] if shards == 1 else sharded(table, shards)
 
-    def spread(batches):
+    def spread(batches, of=range(WORDS)):
         for batch in batches:
             words = [batch.column(k).to_numpy().view(U64) for k in range(WORDS)]
             name = batch.column(WORDS).to_numpy().view(U64)
-            for w in range(WORDS):
-                own = np.stack([words[w], words[(w + 1) % WORDS], name], axis=1)
+            for w in of:
+                own = np.stack([*words[w:], *words[:w], name], axis=1)
                 if shards == 1:
                     whole, parts = own.tobytes(), range(w * len(groups_), (w + 1) * len(groups_))
                     yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([whole] * len(parts), pa.binary())], ["part", "packed"])
                     continue
-                for t, m in enumerate(table, w * len(table)):
-                    to = (mix((words[w] & m) ^ U64(t + 1)) % U64(shards)).astype(np.int64)
+                for t, group in enumerate(groups_, w * len(groups_)):
+                    to = (mix((words[w] & np.bitwise_and.reduce(group)) ^ U64(t + 1)) % U64(shards)).astype(np.int64)
                     order = np.argsort(to, kind="stable")
                     placed, cut = own[order], np.searchsorted(to[order], np.arange(shards + 1))
                     some = [s for s in range(shards) if cut[s] < cut[s + 1]]
@@ -182,17 +211,29 @@ def edges(signed: DataFrame, n: int, radius: int = RADIUS, check: int = CHECK_RA
 
     def search(rows: pa.Table) -> pa.Table:
         part = rows.column("part")[0].as_py()
-        a, b, name = np.frombuffer(b"".join(rows.column("packed").to_pylist()), U64).reshape(-1, 3).T
+        packed = np.frombuffer(b"".join(rows.column("packed").to_pylist()), U64).reshape(-1, WORDS + 1)
+        own, name = np.ascontiguousarray(packed[:, :WORDS].T), packed[:, WORDS]
         found = [np.zeros((0, 2), np.int64)]
         for mask in groups_[part // shards % len(groups_)]:
-            u, v = (x.view(np.int64) for x in bucket_forest(a, b, name, int(mask), radius, check))
+            u, v = (x.view(np.int64) for x in bucket_forest(own, name, int(mask), radius, check))
             found.append(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1))
         pair = np.unique(np.concatenate(found), axis=0)
         return pa.table({"u": pa.array(np.ascontiguousarray(pair[:, 0])), "v": pa.array(np.ascontiguousarray(pair[:, 1]))})
 
     tasks = max(signed.sparkSession.sparkContext.defaultParallelism, shards)
-    packed = signed.select(*_COLUMNS, "node").repartition(tasks).mapInArrow(spread, "part bigint, packed binary")
-    return packed.groupBy("part").applyInArrow(search, "u bigint, v bigint").distinct()
+
+    def found(of: range) -> DataFrame:
+        packed = signed.select(*_COLUMNS, "node").repartition(tasks).mapInArrow(partial(spread, of=of), "part bigint, packed binary")
+        return packed.groupBy("part").applyInArrow(search, "u bigint, v bigint").distinct()
+
+    if shards == 1:
+        return found(range(WORDS))
+    each = []
+    for w in range(WORDS):
+        each.append(scratch.table(found(range(w, w + 1)), "found"))
+        gc.collect()
+        signed.sparkSession.sparkContext._jvm.System.gc()  # else this word's shuffle files stay beside the next one's
+    return reduce(DataFrame.unionByName, each).distinct()
 
 
 def connect(pairs: DataFrame) -> DataFrame:

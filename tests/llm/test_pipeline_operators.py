@@ -212,6 +212,34 @@ def test_near_copies_are_found_and_others_left_alone(spark):
     assert len(got & true) >= 0.9 * len(true) and not got - true
 
 
+def test_short_and_edited_copies_are_found(spark):
+    r = random.Random(12)
+    rows, true = [], set()
+    for k, (n, edits) in enumerate([(50, 4), (60, 5), (100, 9), (140, 12)] * 25):  # word Jaccard 0.83 to 0.85
+        w = [f"t{x}" for x in r.sample(range(50_000), n)]
+        own = [f"new{k}x{i}" if i < edits else x for i, x in enumerate(w)]
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(own))]
+        true.add((1000 + k, k))
+    got = {(x["doc_id"], x["duplicate_of"]) for x in simhash.pairs(docs(spark, rows)).collect()}
+    assert len(got & true) >= 0.9 * len(true) and not got - true
+
+
+def test_one_word_alike_by_chance_is_not_near():
+    apart = [(8, 16, 10, 10), (8, 16, 10, 11), (9, 9, 9, 9), (8, 17, 0, 0)]
+    for bits, near in zip(apart, (True, False, False, False)):
+        words_ = np.array([[0, (1 << n) - 1] for n in bits], np.uint64)
+        u, _ = simhash.bucket_forest(words_, np.array([1, 2], np.uint64), 0, simhash.RADIUS, simhash.CHECK_RADIUS)
+        assert len(u) == near
+
+
+@pytest.mark.parametrize("shards", [2, 14, 100])
+def test_sharded_groups_hold_every_mask_once(shards):
+    table = simhash.masks()
+    made = simhash.sharded(table, shards)
+    assert sorted(int(m) for g in made for m in g) == sorted(map(int, table)) and len(made) < len(table)
+    assert all(len(g) == 1 or 2 ** int(np.bitwise_and.reduce(g)).bit_count() >= 16 * shards for g in made)
+
+
 def test_signatures_of_a_long_text_count_every_feature():
     texts = [" ".join(f"v{i}" for i in range(n)) for n in (1, 254, 255, 256, 1000, 5000)]
     from symdex.llm.kernel import U64, mix, runs
