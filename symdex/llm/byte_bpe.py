@@ -308,8 +308,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return made.select("doc_id", n.alias("n_tokens"), F.col("e.ids").alias("ids"), F.col("e.offsets").alias("offsets"))
 
 
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and the text that the ids of each row stand for."""
+def with_decoded(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """``encoded`` and, as decoded, the text that the ids of each row stand for."""
     small_batches(encoded.sparkSession)
 
     @F.arrow_udf(T.StringType())
@@ -319,4 +319,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         ends = np.concatenate([[0], np.cumsum(v.lengths[flat])])[np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))]).astype(np.int64)].tolist()
         return pa.array([whole[i:j].decode(errors="replace") if ok else None for i, j, ok in zip(ends, ends[1:], np.asarray(ids.is_valid()).tolist())], pa.string())
 
-    return encoded.select(F.col(id_col).alias("doc_id"), run(F.col(ids_col)).alias("text"))
+    return encoded.withColumn("decoded", run(F.col(ids_col)))
+
+
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id and the text that the ids of each row stand for."""
+    return with_decoded(encoded, path, ids_col).select(F.col(id_col).alias("doc_id"), F.col("decoded").alias("text"))

@@ -399,6 +399,11 @@ def test_bpe_round_trip(spark):
 
 
 @needs_tokenizers
+def test_the_query_decodes_every_row(spark, sf_dir):
+    got = queries.op7_byte_bpe(spark, sf_dir).select("doc_id", "decoded")
+    assert multiset(got.collect()) == multiset(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+
+
 def test_slices_decode_by_their_offsets(spark):
     text = "One naïve café, 日本語 and more words. " * 20
     r = byte_bpe.encode(docs(spark, [(1, text)]), BPE).first()
