@@ -9,33 +9,41 @@ first after the last) in at most ``CHECK_RADIUS`` and all words together in at
 most ``TOTAL``: several words each find pairs that one word loses by chance,
 and all bits tell near from unlike where one word is alike by chance.
 
-Search is exact for that definition.  Following covering LSH, bit *i* of a
-word gets a vector m(i) of RADIUS + 1 bits; each non-zero vector v gives a mask
-of the bits with <m(i), v> odd.  Any RADIUS differing bits put at most RADIUS
-linear constraints on v, so some non-zero v avoids them all and the pair agrees
-under that mask: 2**(RADIUS + 1) - 1 tables for each word find every pair, each
-with a key of about 32 bits that keeps chance collisions rare.  Tables that
-share bits can also share a sharding by them, as a pair that agrees under a
-mask agrees in any part of it.  Every signature
-is a query; no bucket is capped.  A bucket gives a spanning forest of its pairs
-(not its pairs, of which a group of thousands has millions), and groups are the
-connected components of all forests.
+Search is exact for that definition, by covering masks at two levels.  A word's
+bits are cut into RADIUS + f parts.  RADIUS differing bits touch at most RADIUS
+parts, so at least f parts are untouched; a pair is looked for in the group of
+its first f untouched ones (``plan``), whose bits agree and say to which shard
+a signature goes.  The parts that a group passes over hold a differing bit
+each, so what is left for the other bits is a smaller radius r, and there
+covering LSH is used: each of these bits gets a vector m(i) of r + 1 bits and
+each non-zero vector v gives a mask of the bits with <m(i), v> odd.  Any r
+differing bits put at most r linear constraints on v, so some non-zero v avoids
+them all and the pair agrees under that mask: 2**(r + 1) - 1 tables.  The number
+of shards, f and how many passed-over parts leave the keys long enough follow
+the number of signatures; nothing else does, and no bucket is capped.
+
+A task reports a spanning forest of its pairs (not the pairs, of which a group
+of thousands has millions): it keeps the component of each signature, drops
+buckets that are in one component already, and lets a component in a large
+bucket grow by comparing its members with what isn't in it, so a group of alike
+texts costs about its size and not its square.  Groups are the connected
+components of all forests.
 
 Cases: null, empty and word-less texts match nothing; documents of equal word
-sets are equal; rows that repeat a document are in one group with it; of each
+sets are equal; a text is signed whole at any length; an empty table has no
+group; rows that repeat a document are in one group with it; of each
 group the row with the smallest doc_id stays (nulls last; among rows equal in
 doc_id and text any one).  Extra columns pass through.
 """
 
 from __future__ import annotations
 
-import gc
-from functools import partial, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,10 +55,12 @@ RADIUS = 8
 CHECK_RADIUS = 16
 #: Bits of all words in which near copies differ at most.
 TOTAL = 44
-#: Signatures that one task takes of a table, as the aim.
+#: Signatures of one shard, as the aim.
 SHARD = 1 << 20
-#: Tables of one word that a task makes from one copy of the signatures, while a task can hold them all.
-TOGETHER = 64
+#: Tables that one task searches, at most.
+TOGETHER = 128
+#: Members beyond which a bucket's components are grown instead of comparing all its pairs.
+LARGE = 32
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -71,20 +81,31 @@ def masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
     return (odd.astype(U64) << np.arange(bits, dtype=U64)[None, :]).sum(axis=1, dtype=U64)
 
 
-def sharded(table: np.ndarray, shards: int) -> list[np.ndarray]:
-    """The masks in groups of at least 16 values a shard in the bits that a group's masks share, where a mask has so many."""
-    least, left, out = (16 * shards - 1).bit_length(), list(table), []
-    while left:
-        own = [left.pop(0)]
-        common = own[0]
-        while left:
-            k = max(range(len(left)), key=lambda i: int(common & left[i]).bit_count())
-            if int(common & left[k]).bit_count() < least:
+def plan(n: int, radius: int = RADIUS) -> tuple[int, list[tuple[int, np.ndarray]]]:
+    """The number of shards for n signatures, and a word's groups: (bits that a group agrees in, its covering masks).
+
+    Keys are as long as n needs where passing over a part less makes them so.
+    """
+    shards, free = max(1, -(-n // SHARD)), 1
+    while 4 * shards > 1 << (64 * free // (radius + free)) and radius + free < 16:
+        free += 1
+    edges_ = np.linspace(0, 64, radius + free + 1).astype(int)
+    parts = [range(a, b) for a, b in zip(edges_[:-1], edges_[1:])]
+    bits = lambda some: [i for p in some for i in parts[p]]
+    groups_ = []
+    for chosen in combinations(range(len(parts)), free):
+        passed = [p for p in range(chosen[-1]) if p not in chosen]
+        while True:
+            rest = [i for i in range(64) if i not in set(bits([*chosen, *passed]))]
+            if not passed or len(bits(chosen)) + len(rest) // 2 > n.bit_length():
                 break
-            common &= left[k]
-            own.append(left.pop(k))
-        out.append(np.array(own, U64))
-    return out
+            passed.pop()
+        own = masks(radius - len(passed), max(1, len(rest)))
+        placed = np.zeros(len(own), U64)
+        for k, i in enumerate(rest):
+            placed |= ((own >> U64(k)) & U64(1)) << U64(i)
+        groups_.append((sum(1 << i for i in bits(chosen)), placed))
+    return shards, groups_
 
 
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,87 +174,117 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_forest(words: np.ndarray, name: np.ndarray, mask: int, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the signatures of one table, all pairs in a bucket are compared; edges to each component's first.
-
-    ``words`` has a row for each word, the table's own first.
+def _near(words: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int, check: int) -> np.ndarray:
+    """Which of the pairs (i, j) are near by the first of ``words``."""
+    near = np.flatnonzero(np.bitwise_count(words[0][i] ^ words[0][j]) <= radius)
+    apart = np.bitwise_count(words[:, i[near]] ^ words[:, j[near]])
+    return near[(apart[1] <= check) & (apart.sum(axis=0, dtype=np.int64) <= TOTAL)]
+
+
+def _grown(words: np.ndarray, at: np.ndarray, label: np.ndarray, radius: int, check: int) -> list[tuple[int, int]]:
+    """Joins of the components ``label`` of the members ``at`` of one bucket, by growing each to its end."""
+    joins, out = [], np.arange(len(at))
+    while len(out):
+        own = label[out] == label[out[0]]
+        first, queue, out = label[out[0]], out[own], out[~own]
+        while len(queue) and len(out):
+            some = queue[: max(1, (1 << 18) // len(out))]
+            queue = queue[len(some) :]
+            i, j = np.repeat(some, len(out)), np.tile(out, len(some))
+            hit = np.unique(label[j[_near(words, at[i], at[j], radius, check)]])
+            if len(hit):
+                joins += [(int(x), int(first)) for x in hit]
+                own = np.isin(label[out], hit)
+                queue, out = np.concatenate([queue, out[own]]), out[~own]
+    return joins
+
+
+def forest(words: np.ndarray, table: np.ndarray, radius: int = RADIUS, check: int = CHECK_RADIUS) -> np.ndarray:
+    """The component of each signature under the near pairs that agree under some mask of ``table``.
+
+    ``words`` has a row for each word, the one that is masked first.  Buckets
+    are made by sorting a product of the masked word, with the place below it;
+    what the product lets collide is compared for nothing and does no harm.
     """
-    key = words[0] & U64(mask)
-    order = np.argsort(key)
-    key, a, name = key[order], words[0][order], name[order]
-    n = len(key)
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    end = np.repeat(np.append(edge[1:], n), np.diff(np.append(edge, n)))
-    left, right = [], []
-    i, k = np.arange(n), 0
-    while len(i):
-        k += 1
-        i = i[i + k < end[i]]
-        near = i[np.bitwise_count(a[i] ^ a[i + k]) <= radius]
-        apart = np.bitwise_count(words[:, order[near]] ^ words[:, order[near + k]])
-        near = near[(apart[1] <= check) & (apart.sum(axis=0, dtype=np.int64) <= TOTAL)]
-        left.append(near)
-        right.append(near + k)
-    left, right = np.concatenate(left), np.concatenate(right)
-    used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
-    root = used[components(len(used), place[: len(left)], place[len(left) :])]
-    far = used != root
-    return name[used[far]], name[root[far]]
+    n = words.shape[1]
+    place, low = np.arange(n), U64((1 << max(1, (n - 1).bit_length())) - 1)
+    label = place.copy()
+    for mask in table:
+        key = ((words[0] & mask) * U64(0x9E3779B97F4A7C15)) & ~low | place.view(U64)
+        key.sort()
+        same = np.zeros(n + 1, bool)
+        same[1:n] = (key[1:] ^ key[:-1]) <= low
+        member = np.flatnonzero(same[1:] | same[:-1])
+        if not len(member):
+            continue
+        at = (key[member] & low).view(np.int64)
+        first = np.flatnonzero(~same[:-1][member])
+        own = label[at]
+        mixed = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        size = np.diff(np.append(first, len(at)))
+        joins = [np.zeros((0, 2), np.int64)]
+        for b in np.flatnonzero(mixed & (size > LARGE)):
+            some = at[first[b] : first[b] + size[b]]
+            found = _grown(words, some, label[some], radius, check)
+            joins.append(np.array(found, np.int64).reshape(-1, 2))
+        little = np.repeat(mixed & (size <= LARGE), size)
+        end = np.repeat(first + size, size)
+        i, k = np.flatnonzero(little), 0
+        while len(i):
+            k += 1
+            i = i[i + k < end[i]]
+            j = i[own[i] != own[i + k]]
+            j = j[_near(words, at[j], at[j + k], radius, check)]
+            joins.append(np.stack([own[j], own[j + k]], axis=1))
+        pair = np.concatenate(joins)
+        if len(pair):
+            used, where = np.unique(pair, return_inverse=True)
+            where = where.reshape(-1, 2)
+            to = place.copy()
+            to[used] = used[components(len(used), where[:, 0], where[:, 1])]
+            label = to[label]
+    return label
 
 
 def edges(signed: DataFrame, n: int, radius: int = RADIUS, check: int = CHECK_RADIUS) -> DataFrame:
-    """Pairs of nodes (u, v), u > v, whose components are the groups; ``signed`` has distinct signatures.
-
-    While a task can hold all signatures, each copy of them serves TOGETHER
-    tables of a word; beyond, tables are cut into shards by the bits they
-    share, one word after another, so that disk holds the copies of one word.
-    """
-    table = masks(radius)
-    shards = max(1, -(-n // SHARD))
-    groups_ = [table[i : i + TOGETHER] for i in range(0, len(table), TOGETHER)] if shards == 1 else sharded(table, shards)
+    """Pairs of nodes (u, v), u > v, whose components are the groups; ``signed`` has n distinct signatures."""
+    shards, groups_ = plan(n, radius)
+    slices = [(agreed, masks_[i : i + TOGETHER]) for agreed, masks_ in groups_ for i in range(0, len(masks_), TOGETHER)]
 
-    def spread(batches, of=range(WORDS)):
+    def spread(batches):
         for batch in batches:
             words = [batch.column(k).to_numpy().view(U64) for k in range(WORDS)]
-            name = batch.column(WORDS).to_numpy().view(U64)
-            for w in of:
-                own = np.stack([*words[w:], *words[:w], name], axis=1)
-                if shards == 1:
-                    whole, parts = own.tobytes(), range(w * len(groups_), (w + 1) * len(groups_))
-                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([whole] * len(parts), pa.binary())], ["part", "packed"])
-                    continue
-                for t, group in enumerate(groups_, w * len(groups_)):
-                    to = (mix((words[w] & np.bitwise_and.reduce(group)) ^ U64(t + 1)) % U64(shards)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    placed, cut = own[order], np.searchsorted(to[order], np.arange(shards + 1))
-                    some = [s for s in range(shards) if cut[s] < cut[s + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([t * shards + s for s in some], pa.int64()), pa.array([placed[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary())], ["part", "packed"])
+            part, packed = [], []
+            for w in range(WORDS):
+                own = np.stack([*words[w:], *words[:w]], axis=1)
+                agreed, placed, cut = None, own, np.array([0, len(own)])
+                for t, (bits, _) in enumerate(slices, w * len(slices)):
+                    if shards > 1 and bits != agreed:
+                        agreed, to = bits, (mix((words[w] & U64(bits)) ^ U64(w)) % U64(shards)).astype(np.int64)
+                        order = np.argsort(to, kind="stable")
+                        placed, cut = own[order], np.searchsorted(to[order], np.arange(shards + 1))
+                    for s in range(shards):
+                        if cut[s] < cut[s + 1]:
+                            part.append(t * shards + s)
+                            packed.append(placed[cut[s] : cut[s + 1]].tobytes())
+            if part:
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(packed, pa.binary())], ["part", "packed"])
 
     def search(rows: pa.Table) -> pa.Table:
         part = rows.column("part")[0].as_py()
-        packed = np.frombuffer(b"".join(rows.column("packed").to_pylist()), U64).reshape(-1, WORDS + 1)
-        own, name = np.ascontiguousarray(packed[:, :WORDS].T), packed[:, WORDS]
-        found = [np.zeros((0, 2), np.int64)]
-        for mask in groups_[part // shards % len(groups_)]:
-            u, v = (x.view(np.int64) for x in bucket_forest(own, name, int(mask), radius, check))
-            found.append(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1))
-        pair = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"u": pa.array(np.ascontiguousarray(pair[:, 0])), "v": pa.array(np.ascontiguousarray(pair[:, 1]))})
-
-    tasks = max(signed.sparkSession.sparkContext.defaultParallelism, shards)
-
-    def found(of: range) -> DataFrame:
-        packed = signed.select(*_COLUMNS, "node").repartition(tasks).mapInArrow(partial(spread, of=of), "part bigint, packed binary")
-        return packed.groupBy("part").applyInArrow(search, "u bigint, v bigint").distinct()
-
-    if shards == 1:
-        return found(range(WORDS))
-    each = []
-    for w in range(WORDS):
-        each.append(scratch.table(found(range(w, w + 1)), "found"))
-        gc.collect()
-        signed.sparkSession.sparkContext._jvm.System.gc()  # else this word's shuffle files stay beside the next one's
-    return reduce(DataFrame.unionByName, each).distinct()
+        words = np.ascontiguousarray(np.frombuffer(b"".join(rows.column("packed").to_pylist()), U64).reshape(-1, WORDS).T)
+        rows, w = None, part // shards // len(slices)
+        label = forest(words, slices[part // shards % len(slices)][1], radius, check)
+        name = node(np.roll(words, w, axis=0).T)
+        far = np.flatnonzero(label != np.arange(len(label)))
+        u, v = name[far], name[label[far]]
+        return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
+
+    tasks = signed.sparkSession.sparkContext.defaultParallelism
+    rows_ = signed.select(*_COLUMNS).repartition(max(tasks, shards))
+    parts = WORDS * len(slices) * shards
+    packed = rows_.mapInArrow(spread, "part bigint, packed binary").repartition(min(parts, 100_000), "part")
+    return packed.groupBy("part").applyInArrow(search, "u bigint, v bigint").distinct()
 
 
 def connect(pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -149,7 +150,7 @@ def plain_groups(words_):
     """Components of signatures by comparing all pairs."""
     n = len(words_)
     apart = np.bitwise_count(words_[:, None] ^ words_[None, :])
-    near = ((apart <= simhash.RADIUS) & (np.roll(apart, -1, axis=2) <= simhash.CHECK_RADIUS)).any(axis=2)
+    near = ((apart <= simhash.RADIUS) & (np.roll(apart, -1, axis=2) <= simhash.CHECK_RADIUS)).any(axis=2) & (apart.sum(axis=2, dtype=int) <= simhash.TOTAL)
     label = np.arange(n)
     while True:
         new = np.where(near, label[None, :], n).min(axis=1)
@@ -228,16 +229,52 @@ def test_one_word_alike_by_chance_is_not_near():
     apart = [(8, 16, 10, 10), (8, 16, 10, 11), (9, 9, 9, 9), (8, 17, 0, 0)]
     for bits, near in zip(apart, (True, False, False, False)):
         words_ = np.array([[0, (1 << n) - 1] for n in bits], np.uint64)
-        u, _ = simhash.bucket_forest(words_, np.array([1, 2], np.uint64), 0, simhash.RADIUS, simhash.CHECK_RADIUS)
-        assert len(u) == near
-
-
-@pytest.mark.parametrize("shards", [2, 14, 100])
-def test_sharded_groups_hold_every_mask_once(shards):
-    table = simhash.masks()
-    made = simhash.sharded(table, shards)
-    assert sorted(int(m) for g in made for m in g) == sorted(map(int, table)) and len(made) < len(table)
-    assert all(len(g) == 1 or 2 ** int(np.bitwise_and.reduce(g)).bit_count() >= 16 * shards for g in made)
+        assert (simhash.forest(words_, np.zeros(1, np.uint64))[1] == 0) == near
+
+
+@pytest.mark.parametrize("n", [10, 10_000, 200_000, 14_000_000, 2_000_000_000])
+def test_the_plan_covers_every_difference_within_the_radius(n):
+    shards, groups = simhash.plan(n)
+    assert (shards - 1) * simhash.SHARD < n <= shards * simhash.SHARD
+    assert all(2 ** bin(agreed).count("1") >= 4 * shards / 2 for agreed, _ in groups)
+    r = np.random.default_rng(n)
+    for k in range(1500):
+        width = simhash.RADIUS if k % 2 else int(r.integers(0, simhash.RADIUS + 1))
+        near = r.integers(0, 64) if k % 3 else 0  # spread over the word, or close together
+        bits = r.choice(64, width, replace=False) if k % 3 else (near + r.choice(20, width, replace=False)) % 64
+        d = np.uint64(sum(1 << int(b) for b in bits))
+        assert any(not int(d) & agreed and (masks & d == 0).any() for agreed, masks in groups)
+
+
+@pytest.mark.parametrize("large", [1, simhash.LARGE])
+def test_a_forest_has_the_components_of_all_pairs(large, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 62, (5, simhash.WORDS)).astype(np.uint64)
+    words_ = base[r.integers(0, 5, 300)]
+    for _ in range(7):
+        flip = r.integers(0, 64, words_.shape).astype(np.uint64)
+        words_ ^= (r.random(words_.shape) < 0.6).astype(np.uint64) << flip
+    words_ = np.unique(words_, axis=0)
+    own = words_.T
+    apart = np.bitwise_count(own[:, :, None] ^ own[:, None, :])
+    near = (apart[0] <= simhash.RADIUS) & (apart[1] <= simhash.CHECK_RADIUS) & (apart.sum(axis=0, dtype=int) <= simhash.TOTAL)
+    i, j = np.nonzero(near)
+    want = simhash.components(len(words_), i, j)
+    assert 5 <= len(set(want.tolist())) < len(words_)
+    for table in ([np.uint64(0)], simhash.masks()):
+        assert (simhash.forest(np.ascontiguousarray(own), np.array(table, np.uint64)) == want).all()
+
+
+def test_a_group_of_alike_texts_costs_about_its_size():
+    r = np.random.default_rng(4)
+    n = 60_000
+    words_ = np.repeat(r.integers(0, 1 << 62, (simhash.WORDS, 1)).astype(np.uint64), n, axis=1)
+    for _ in range(3):
+        words_ ^= np.uint64(1) << r.integers(0, 64, words_.shape).astype(np.uint64)
+    began = time.perf_counter()
+    label = simhash.forest(words_, np.array([0, 0xFFFFFFFF, 1 << 40], np.uint64))
+    assert (label == 0).all() and time.perf_counter() - began < 20  # all pairs would be 1.8e9
 
 
 def test_signatures_of_a_long_text_count_every_feature():
