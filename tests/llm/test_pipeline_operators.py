@@ -45,24 +45,49 @@ def plain_lines(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("budget", [line_dedup.MAX_FILTER_BYTES, 0])
-def test_line_dedup(spark, budget, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SHARD_LINES", 100)
+@pytest.mark.parametrize("shard, held", [(line_dedup.SHARD_LINES, line_dedup.HELD_LINES), (100, 40)])
+def test_line_dedup(spark, shard, held, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", shard)
+    monkeypatch.setattr(line_dedup, "HELD_LINES", held)  # workers that are forked later see it; others hold all
     for seed in (1, 2):
         rows = random_docs(seed)
-        assert rows_of(line_dedup.dedup(docs(spark, rows), max_filter_bytes=budget), "doc_id", "text") == plain_lines(rows)
+        assert rows_of(line_dedup.dedup(docs(spark, rows, 5)), "doc_id", "text") == plain_lines(rows)
 
 
-@pytest.mark.parametrize("budget", [line_dedup.MAX_FILTER_BYTES, 0])
-def test_line_dedup_odd_rows(spark, budget):
+def test_line_dedup_odd_rows(spark):
     odd = [r for r in ODD if r != (5, "different text under a known id")]
     df = with_clashes(docs(spark, odd))
-    got = line_dedup.dedup(df, max_filter_bytes=budget)
+    got = line_dedup.dedup(df)
     assert got.columns == df.columns and got.schema["n_chars"].dataType == df.schema["n_chars"].dataType
     kept = got.collect()
     assert Counter((r["doc_id"], r["text"]) for r in kept) == plain_lines(odd)
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) and r["gone"] == df.first()["gone"] for r in kept)
-    assert line_dedup.dedup(df.limit(0), max_filter_bytes=budget).count() == 0
+    assert line_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_documents_do_not_move(spark):
+    rows = random_docs(3)
+    got = line_dedup.dedup(docs(spark, rows))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # that of what is gone
+
+
+def test_suspects_hold_every_repeat():
+    r = np.random.default_rng(1)
+    h = r.integers(0, 1 << 63, 300_000).astype(np.uint64)
+    h[1000:1500], h[290_000:290_500] = h[:500], h[500:1000]
+    hit = line_dedup.suspects(h)
+    times = dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True))))
+    many = np.array([times[x] > 1 for x in h.tolist()])
+    assert hit[many].all() and hit[~many].mean() < 0.01
+
+
+def test_one_line_in_every_row_is_one_hash_for_a_task():
+    rows = [(i, f"same\nown {i}") for i in range(5000)]
+    uid, text = pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])
+    sent = list(line_dedup._sent(3)([pa.RecordBatch.from_arrays([uid, text], ["uid", "text"])]))
+    packed = {s: np.frombuffer(b, np.int64).reshape(-1, 2) for x in sent for s, b in zip(*x.to_pydict().values())}
+    assert sum(len(v) for s, v in packed.items() if s < 3) == 5001 and sum(len(v) for s, v in packed.items() if s >= 3) == 5000
 
 
 def test_line_dedup_without_repeats_changes_nothing(spark):
