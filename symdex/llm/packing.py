@@ -6,13 +6,19 @@ that gives full pieces and a rest) and the pieces are packed into sequences of
 length from the longest, the sequences with the least sufficient space take as
 many pieces of that length as there are, whole groups of sequences at a time.
 The histogram has at most CAPACITY entries whatever the corpus, so planning is
-constant work; the plan says which sequence, at which offset, the pieces with
-ranks ``lo <= rank < hi`` of a length take.
+constant work; the plan says which sequences, at which offset, the pieces with
+ranks ``lo <= rank < hi`` of a length take.  It has O(CAPACITY log CAPACITY)
+rows: sequences of equal space are one group, a length takes groups whole but
+for its last one, so it adds three groups at most, and as the space left is
+less than half of what it was, a group is taken log2(CAPACITY) times at most.
+That is 2 * 3 * 2048 * 11 rows for 2048, and the bound by which it is broadcast.
 
 Pieces then take their slots by rank within length.  Ranks come from a window
-over (length, bucket), the bucket being a hash of doc_id, and each bucket's
-offset from a running sum over the small table of counts, so no length is
-ranked in one task.  Order of rank: bucket, doc_id, piece, text.
+over (length, bucket), the bucket being a hash of doc_id and text, and each
+bucket's offset from a running sum over the table of counts, so no length is
+ranked in one task and nothing of the pieces shuffles again: the offsets are
+joined on what the window is partitioned by.  Order of rank: bucket, doc_id,
+piece, text.
 
 A word is a maximal run of characters other than space, tab, newline, vertical
 tab, form feed and carriage return; a piece keeps the text between its first
@@ -34,20 +40,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import scratch
 from .kernel import chunks, runs, small_batches
 
 CAPACITY = 2048
-#: The plan is broadcast up to this many rows; beyond, the join shuffles.
-MAX_BROADCAST_PLAN = 200_000
 #: Pieces of one length that one window group ranks, as the aim.
-BUCKET = 1 << 17
+BUCKET = 1 << 15
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Rows (length, lo, hi, first_bin, offset) of best-fit decreasing over counts."""
+def plan_bound(capacity: int) -> int:
+    """The most rows that a plan has."""
+    return 6 * capacity * max(1, capacity.bit_length())
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """Rows (length, lo, hi, first_bin, bins, offset) of best-fit decreasing over counts.
+
+    Rank lo + k of a row takes sequence first_bin + k % bins, at the offset plus length * (k // bins).
+    """
     free: dict[int, list[tuple[int, int]]] = {}  # space: [(first bin, bins)], oldest first
     spaces: list[int] = []
     rows, bins = [], 0
@@ -76,10 +89,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             full = min(n, left // each)
             rest = left - full * each if full < n else 0
             for some, at, levels in ((full, first, each), (1, first + full, rest)):
-                for level in range(levels if some else 0):
-                    rows.append((length, rank, rank + some, at, capacity - space + level * length))
-                    rank += some
                 if some and levels:
+                    rows.append((length, rank, rank + some * levels, at, some, capacity - space))
+                    rank += some * levels
                     add(space - levels * length, at, some)
             used = full + (rest > 0)
             if first == bins:
@@ -123,33 +135,30 @@ def _cutter(capacity: int):
     return cut
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_broadcast: int = MAX_BROADCAST_PLAN) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece: bin_id, bin_offset, doc_id, piece, n_words, text."""
     spark = docs.sparkSession
     small_batches(spark)
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def counted(df: DataFrame, buckets: int) -> DataFrame:
-        rest = F.col("n") % capacity
-        sizes = F.array(F.struct(F.lit(capacity).alias("length"), F.floor(F.col("n") / capacity).alias("n")), F.struct(rest.cast("int").alias("length"), F.lit(1).cast("bigint").alias("n")))
-        b = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
-        return df.select(b, F.explode(sizes).alias("s")).select("bucket", "s.*").where("length > 0 AND n > 0").groupBy("length", "bucket").agg(F.sum("n").alias("n"))
-
-    # the number of buckets follows the number of pieces, by an upper bound that needs no text
+    # the number of buckets follows the number of rows, which needs no text
     buckets = max(1, -(-ids.count() // BUCKET))
-    counts = counted(ids.select("doc_id", n_words("text").alias("n")), buckets)
-    counts = spark.createDataFrame(counts.collect(), counts.schema) if buckets * capacity <= max_broadcast else counts.persist()
+    ids = ids.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+
+    n = F.col("n")
+    sizes = F.array(F.struct(F.lit(capacity).alias("length"), F.floor(n / capacity).alias("n")), F.struct((n % capacity).cast("int").alias("length"), F.lit(1).cast("bigint").alias("n")))
+    each = ids.select("bucket", n_words("text").alias("n")).select("bucket", F.explode(sizes).alias("s")).select("bucket", "s.*").where("length > 0 AND n > 0")
+    counts = scratch.table(each.groupBy("length", "bucket").agg(F.sum("n").alias("n")), "counts")
     made = plan({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, capacity)
+    if len(made) > plan_bound(capacity):
+        raise AssertionError("a plan of more rows than it can have")
+    slots = F.broadcast(spark.createDataFrame(made, "length int, lo bigint, hi bigint, first_bin bigint, bins bigint, at int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    slots = spark.createDataFrame(made, "length int, lo bigint, hi bigint, first_bin bigint, at int")
-    if len(made) <= max_broadcast:
-        slots = F.broadcast(slots)
-    if buckets * capacity <= max_broadcast:
-        offsets = F.broadcast(offsets)
 
-    pieces = ids.select("doc_id", F.explode(_cutter(capacity)("text")).alias("p")).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "p.*")
+    pieces = ids.select("doc_id", "bucket", F.explode(_cutter(capacity)("text")).alias("p")).select("doc_id", "bucket", "p.*")
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "piece", "text"))
     ranked = pieces.withColumn("k", rank - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("k") + F.col("before")).drop("before", "k", "bucket")
     placed = ranked.join(slots, (ranked["length"] == slots["length"]) & (ranked["rank"] >= slots["lo"]) & (ranked["rank"] < slots["hi"]))
-    return placed.select((F.col("first_bin") + F.col("rank") - F.col("lo")).alias("bin_id"), F.col("at").alias("bin_offset"), "doc_id", "piece", ranked["length"].alias("n_words"), "text")
+    k = F.col("rank") - F.col("lo")
+    at = (F.col("at") + ranked["length"] * F.floor(k / F.col("bins"))).cast("int")
+    return placed.select((F.col("first_bin") + k % F.col("bins")).alias("bin_id"), at.alias("bin_offset"), "doc_id", "piece", ranked["length"].alias("n_words"), "text")

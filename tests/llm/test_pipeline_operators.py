@@ -380,10 +380,11 @@ def test_plan_is_best_fit(seed):
     lengths = [r.randrange(1, capacity + 1) if r.random() < 0.7 else r.choice([1, 2, capacity]) for _ in range(r.randrange(1, 400))]
     rows = packing.plan(Counter(lengths), capacity)
     used, taken = defaultdict(list), Counter()
-    for length, lo, hi, first, at in rows:
+    assert len(rows) <= packing.plan_bound(capacity)
+    for length, lo, hi, first, bins, at in rows:
         taken[length] += hi - lo
         for k in range(hi - lo):
-            used[first + k].append((at, length))
+            used[first + k % bins].append((at + length * (k // bins), length))
     assert taken == Counter(lengths)
     for own in used.values():  # pieces stand one after another, within the capacity
         at = 0
@@ -405,13 +406,21 @@ def plain_pieces(rows, capacity):
     return out
 
 
-@pytest.mark.parametrize("limit, bucket", [(packing.MAX_BROADCAST_PLAN, packing.BUCKET), (0, 5)])
-def test_packing(spark, limit, bucket, monkeypatch):
+def test_a_plan_stays_within_its_bound():
+    r = random.Random(5)
+    for capacity in (2, 3, 64, 2048):
+        for _ in range(5):
+            histogram = {n: r.choice([1, 2, 7, 10**6, r.randrange(1, 10**9)]) for n in range(1, capacity + 1) if r.random() < 0.9}
+            assert len(packing.plan(histogram, capacity)) <= packing.plan_bound(capacity)
+
+
+@pytest.mark.parametrize("bucket", [packing.BUCKET, 5])
+def test_packing(spark, bucket, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET", bucket)
     r = random.Random(4)
     rows = [(i, words(r, r.choice([0, 1, 5, 20, 21, 45, 130]))) for i in range(80)] + ODD
     df = with_clashes(docs(spark, rows))
-    got = packing.pack(df, capacity=20, max_broadcast=limit).collect()
+    got = packing.pack(df, capacity=20).collect()
     pieces = plain_pieces(rows, 20)
     assert Counter((x["doc_id"], x["piece"], x["n_words"], x["text"]) for x in got) == Counter(pieces)
     fill = defaultdict(list)
