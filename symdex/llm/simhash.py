@@ -60,7 +60,7 @@ SHARD = 1 << 20
 #: Tables that one task searches, at most.
 TOGETHER = 128
 #: Members beyond which a bucket's components are grown instead of comparing all its pairs.
-LARGE = 32
+LARGE = 256
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -97,11 +97,11 @@ def plan(n: int, radius: int = RADIUS) -> tuple[int, list[tuple[int, np.ndarray]
         passed = [p for p in range(chosen[-1]) if p not in chosen]
         while True:
             rest = [i for i in range(64) if i not in set(bits([*chosen, *passed]))]
-            if not passed or len(bits(chosen)) + len(rest) // 2 > n.bit_length():
+            if not passed or len(bits(chosen)) + len(rest) // 2 > n.bit_length() + 1:
                 break
             passed.pop()
         own = masks(radius - len(passed), max(1, len(rest)))
-        placed = np.zeros(len(own), U64)
+        placed = np.full(len(own), sum(1 << i for i in bits(chosen)), U64)
         for k, i in enumerate(rest):
             placed |= ((own >> U64(k)) & U64(1)) << U64(i)
         groups_.append((sum(1 << i for i in bits(chosen)), placed))
