@@ -12,20 +12,24 @@ model hasn't seen leaves the probability as it is, so each model uses its own
 longest known context.  A URL's score is the log-likelihood under the accepted
 model minus that under the rejected one, divided by its length in bytes.
 
-Which URLs train as rejected is told by ``REJECTED_WORDS`` in the host; all
+Which URLs train as rejected is told by labels, a frame of (page_id, rejected);
+a page without a label trains nothing.  Without labels, ``REJECTED_WORDS`` as
+whole words of the host (between anything but letters and digits) tell, and all
 others train as accepted.  A tenth of the URLs, by hash, isn't trained on: the
 threshold is the score at which the sum of the two classes' error rates on it
 is least (the middle of the widest range where it is; 0 if it lacks a class).
 
-Counts are of (gram, class) and grow with the table.  The model is broadcast up
-to ``MAX_BROADCAST`` grams; beyond that, URLs are cut into buckets, the grams
-that a bucket needs are joined with the model, and each bucket is scored with
-its part of the model by the same function, to the same result.
+Counts are of (gram, class) over all URLs and grow with the table, so no task
+holds the model.  URLs are cut into ranges by their text, as many as the table
+needs (equal URLs by page_id), so that those of a range are alike; each range's
+distinct grams are joined with the model, and the range is scored with its part
+of it.
 
 Before counting, a URL is lower-cased and loses its scheme.  Cases: a null URL,
 or one with nothing but a scheme, has a null score and is kept; repeated URLs
-count each time; rows are scored one by one at any length; extra columns are
-not carried; an empty table gives an empty result.
+count each time and score alike, ties at the threshold are kept; of several
+labels of one page one that rejects wins; rows are scored one by one at any
+length; extra columns are not carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,11 +46,12 @@ from .kernel import U64, chunks, small_batches
 
 ORDER = 5
 HELD_OUT = 10
-MAX_BROADCAST = 2_000_000
-#: URLs of one bucket where the model isn't broadcast, as the aim.
-BUCKET = 20_000
+#: URLs of one range, as the aim.
+BUCKET = 1 << 15
+#: Grams that a task counts before it sends them.
+HELD = 1 << 20
 
-REJECTED_WORDS = ("adult", "ads-", "bets", "casino", "escort", "gambl", "lottery", "payday", "pharma", "pills", "poker", "porn", "sex", "spam", "torrent", "viagra", "warez", "xxx")
+REJECTED_WORDS = ("ads", "adult", "adults", "bet", "bets", "betting", "casino", "casinos", "escort", "escorts", "gamble", "gambling", "lottery", "payday", "pharma", "pills", "poker", "porn", "sex", "spam", "torrent", "torrents", "viagra", "warez", "xxx")
 
 _VALUES = ("gram_a", "gram_r", "context_a", "context_r", "kinds_a", "kinds_r")
 
@@ -56,7 +61,7 @@ def _prepared(url: Column) -> Column:
 
 
 def _rejected(url: Column) -> Column:
-    return F.regexp_extract(_prepared(url), r"^[^/?#]*", 0).rlike("|".join(REJECTED_WORDS))
+    return F.regexp_extract(_prepared(url), r"^[^/?#]*", 0).rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(REJECTED_WORDS) + r")(?![\p{L}\p{N}])")
 
 
 def _grams(urls: pa.Array):
@@ -80,7 +85,14 @@ def _context(key: np.ndarray) -> np.ndarray:
 def count(urls: DataFrame) -> DataFrame:
     """The model of a frame (url, rejected): for each key the counts as gram and as context, by class."""
 
+    def out(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        key, n, r = (np.concatenate(x) for x in zip(*held))
+        found, which = np.unique(key, return_inverse=True)
+        n, r = (np.bincount(which, x, len(found)).astype(np.int64) for x in (n, r))  # exact below 2**53
+        return found, n, r
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             rejected = np.asarray(batch.column(1).fill_null(False))
             for c, row, keys in _grams(batch.column(0)):
@@ -88,9 +100,19 @@ def count(urls: DataFrame) -> DataFrame:
                 both = np.concatenate(keys)
                 bad = np.tile(bad, len(keys))[both > 0]
                 found, which = np.unique(both[both > 0], return_inverse=True)
-                n = np.bincount(which, minlength=len(found))
-                r = np.bincount(which[bad], minlength=len(found))
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n - r), pa.array(r)], ["key", "a", "r"])
+                held.append((found, np.bincount(which, minlength=len(found)), np.bincount(which[bad], minlength=len(found))))
+                size += len(found)
+                if size > HELD:
+                    held = [out(held)]
+                    size = len(held[0][0])
+                    if 2 * size > HELD:
+                        yield batch_of(*held.pop())
+                        size = 0
+        if held:
+            yield batch_of(*out(held))
+
+    def batch_of(key: np.ndarray, n: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n - r), pa.array(r)], ["key", "a", "r"])
 
     grams = urls.mapInArrow(run, "key bigint, a bigint, r bigint").groupBy("key").agg(F.sum("a").alias("gram_a"), F.sum("r").alias("gram_r"))
     grams = scratch.table(grams, "grams")
@@ -129,39 +151,34 @@ def _sorted(model: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return keys[order], [model.column(v).to_numpy()[order] for v in _VALUES]
 
 
-def scored(urls: DataFrame, model: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """A frame with a column ``__sx_url`` and its score beside it."""
-    if model.count() <= max_broadcast:
-        held = urls.sparkSession.sparkContext.broadcast(_sorted(model.toArrow()))
-
-        @F.arrow_udf(T.DoubleType())
-        def run(column: pa.Array) -> pa.Array:
-            return score(column, *held.value)
-
-        return urls.withColumn("score", run("__sx_url"))
-
-    buckets = max(1, -(-urls.count() // BUCKET))
-    cut = urls.withColumn("__sx_bucket", F.pmod(F.xxhash64("__sx_url"), F.lit(buckets)))
+def scored(urls: DataFrame, model: DataFrame, bucket: str = "__sx_bucket") -> DataFrame:
+    """A frame with a column ``__sx_url``, and ``bucket`` that tells its ranges (each in one task), and the score beside them."""
 
     def need(batches):
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            bucket = np.asarray(batch.column(0))
+            own = np.asarray(batch.column(0))
             for c, row, grams in _grams(batch.column(1)):
-                own = np.tile(bucket[c.first + row], 2 * len(grams))
+                of = np.tile(own[c.first + row], 2 * len(grams))
                 key = np.concatenate(grams)
                 key = np.concatenate([key, np.where(key > 0, _context(np.maximum(key, U64(1 << 56))), U64(0))])
-                pair = np.unique(np.stack([own.astype(U64), key], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].view(np.int64) if pair[:, 0].flags.c_contiguous else pair[:, 0].astype(np.int64)), pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64))], ["__sx_bucket", "key"])
+                for b in np.unique(of).tolist():
+                    held.setdefault(b, []).append(np.unique(key[of == b]))  # 0 is the empty context
+                    if len(held[b]) > 16:
+                        held[b] = [np.unique(np.concatenate(held[b]))]
+        for b, keys in held.items():
+            key = np.unique(np.concatenate(keys)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), b, np.int64)), pa.array(key)], [bucket, "key"])
 
-    part = cut.select("__sx_bucket", "__sx_url").mapInArrow(need, "__sx_bucket bigint, key bigint").distinct().join(model, "key")
+    part = urls.select(F.col(bucket).cast("bigint").alias(bucket), "__sx_url").where("__sx_url IS NOT NULL").mapInArrow(need, f"{bucket} bigint, key bigint").distinct().join(model, "key")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()
         url = left.column("__sx_url").combine_chunks() if left.num_rows else pa.array([], pa.string())
         return left.append_column("score", score(url, *_sorted(right)))
 
-    schema = T.StructType([*cut.schema.fields, T.StructField("score", T.DoubleType())])
-    return cut.groupBy("__sx_bucket").cogroup(part.groupBy("__sx_bucket")).applyInArrow(run, schema).drop("__sx_bucket")
+    schema = T.StructType([*urls.schema.fields, T.StructField("score", T.DoubleType())])
+    return urls.groupBy(bucket).cogroup(part.groupBy(bucket)).applyInArrow(run, schema)
 
 
 def threshold(histogram: list[tuple[float, int, int]]) -> float:
@@ -186,14 +203,23 @@ def threshold(histogram: list[tuple[float, int, int]]) -> float:
     return (low + high) / 2
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """page_id, url, rejected_seed, score, kept of each row."""
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None) -> DataFrame:
+    """page_id, url, rejected_seed (null without a label), score, kept of each row."""
     small_batches(pages.sparkSession)
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.coalesce(_rejected(url), F.lit(False)).alias("rejected_seed"), F.nullif(_prepared(url), F.lit("")).alias("__sx_url"))
+    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.nullif(_prepared(url), F.lit("")).alias("__sx_url"))
+    if labels is None:
+        rows = rows.withColumn("rejected_seed", F.coalesce(_rejected(F.col("url")), F.lit(False)))
+    else:
+        told = labels.groupBy("page_id").agg(F.max(F.col("rejected").cast("boolean")).alias("rejected_seed"))
+        rows = rows.join(told, "page_id", "left")
+    ranges = max(1, -(-rows.count() // BUCKET))
+    rows = scratch.table(rows.repartitionByRange(ranges, "__sx_url", "page_id").withColumn("__sx_bucket", F.spark_partition_id().cast("bigint")), "urls")
     held_out = F.pmod(F.xxhash64("__sx_url"), F.lit(HELD_OUT)) == 0
-    model = count(rows.where("__sx_url IS NOT NULL").where(~held_out).select("__sx_url", "rejected_seed"))
-    made = scratch.table(scored(rows, model, max_broadcast), "scores")
-    tested = made.where(held_out & F.col("score").isNotNull()).groupBy(F.round("score", 3).alias("s"))
+    known = F.col("rejected_seed").isNotNull()
+    model = count(rows.where("__sx_url IS NOT NULL").where(~held_out & known).select("__sx_url", "rejected_seed"))
+    made = scratch.table(scored(rows, model), "scores")
+    tested = made.where(held_out & known & F.col("score").isNotNull()).groupBy(F.round("score", 3).alias("s"))
+    # some thousand rows: a score is a difference of logarithms for a byte
     cut = threshold([tuple(r) for r in tested.agg(F.count_if(~F.col("rejected_seed")), F.count_if("rejected_seed")).collect()])
     return made.select("page_id", "url", "rejected_seed", "score", F.coalesce(F.col("score") >= cut, F.lit(True)).alias("kept"))

@@ -65,14 +65,14 @@ def plain_score(models, url):
     return total / (len(b) - 1)
 
 
-@pytest.mark.parametrize("limit", [url_filter.MAX_BROADCAST, 0])
-def test_url_scores(spark, limit, monkeypatch):
-    monkeypatch.setattr(url_filter, "BUCKET", 40)
+@pytest.mark.parametrize("bucket", [url_filter.BUCKET, 40])
+def test_url_scores(spark, bucket, monkeypatch):
+    monkeypatch.setattr(url_filter, "BUCKET", bucket)
     df = pages(spark, url_rows(1))
     prepared = df.select("page_id", url_filter._prepared(F.col("url")).alias("u"), url_filter._rejected(F.col("url")).alias("bad"), (F.pmod(F.xxhash64(url_filter._prepared(F.col("url"))), F.lit(url_filter.HELD_OUT)) == 0).alias("held")).collect()
     models = [Markov([r["u"] for r in prepared if r["bad"] == bad and not r["held"]]) for bad in (False, True)]
     want = {r["page_id"]: plain_score(models, r["u"]) for r in prepared}
-    got = {r["page_id"]: r for r in url_filter.filter_urls(df, max_broadcast=limit).collect()}
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df).collect()}
     assert set(got) == set(want)
     for i, s in want.items():
         assert got[i]["score"] == pytest.approx(s, abs=1e-9)
@@ -93,15 +93,39 @@ def test_url_threshold_has_the_least_error():
         assert error(url_filter.threshold(rows)) == pytest.approx(min(error(c) for c in [-1.05, *(x[0] + 0.05 for x in rows)]))
 
 
-@pytest.mark.parametrize("limit", [url_filter.MAX_BROADCAST, 0])
-def test_url_odd_rows(spark, limit):
+def test_url_odd_rows(spark):
     rows = [(1, None, None), (2, "", None), (3, "http://", None), (4, "x", None), (4, "x", None), (None, "https://casino.example/é", None), (6, "http://a.example/" + "y" * 50_000, None)]
     df = with_clashes(pages(spark, rows))
-    got = url_filter.filter_urls(df, max_broadcast=limit).collect()
+    got = url_filter.filter_urls(df).collect()
     assert Counter((r["page_id"], r["url"]) for r in got) == Counter((i, u) for i, u, _ in rows)
     assert all(r["kept"] and r["score"] is None for r in got if r["page_id"] in (1, 2, 3))
     assert all(r["score"] is not None for r in got if r["page_id"] not in (1, 2, 3))
-    assert url_filter.filter_urls(df.limit(0), max_broadcast=limit).count() == 0
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+LOOKALIKES = ("essex.gov.uk", "alphabets.org", "pharmacy.nhs.uk", "downloads-mirror.org")
+
+
+def test_hosts_that_only_look_like_rejected_ones_are_kept(spark):
+    rows = url_rows(2, 600)
+    rows += [(1000 + 40 * k + i, f"https://{host}/item/{i}", None) for k, host in enumerate(LOOKALIKES) for i in range(40)]
+    got = url_filter.filter_urls(pages(spark, rows)).collect()
+    look = [r for r in got if r["page_id"] >= 1000]
+    assert not any(r["rejected_seed"] for r in look)
+    assert sum(r["kept"] for r in look) >= 0.95 * len(look)
+    lost = [r for r in got if not r["kept"]]
+    assert len(lost) > 50 and sum(r["rejected_seed"] for r in lost) >= 0.95 * len(lost)
+
+
+def test_labels_need_no_word_list(spark):
+    r = random.Random(6)
+    kinds = ("blue", "green")
+    rows = [(i, f"http://{r.choice('abcdef')}.example/{kinds[i % 2]}{r.randrange(30)}/{r.randrange(99)}", None) for i in range(1200)]
+    told = [(i, i % 2 == 1) for i in range(800)] + [(1, True)]  # the rest has no label
+    labels = spark.createDataFrame(told, "page_id bigint, rejected boolean")
+    got = {x["page_id"]: x for x in url_filter.filter_urls(pages(spark, rows), labels=labels).collect()}
+    assert len(got) == len(rows) and all(got[i]["rejected_seed"] is None for i in range(800, 1200))
+    assert sum(got[i]["kept"] == (i % 2 == 0) for i in range(800, 1200)) >= 0.98 * 400
 
 
 def test_url_filter_on_held_out_pages(spark, sf_dir):
