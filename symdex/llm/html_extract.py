@@ -13,6 +13,11 @@ up to, but without, the body is the threshold: a branch beside that path is
 content too if its density reaches the threshold and several of its children
 make its sum exceed its density.
 
+A page may have its paragraphs directly in the body, with no element around
+them.  So a run of neighbouring text blocks (paragraphs, headings, quotations)
+that are the body's own children is a candidate like a node, with the sum of
+their densities; where it beats every node, the run is the content.
+
 Pages are read leniently: unclosed paragraphs, list items, table parts and
 options end where their next sibling or their parent's end comes, stray end
 tags are skipped, comments, scripts, styles and templates hold no text,
@@ -21,12 +26,16 @@ their own.
 
 Cases: a null page has null text; an empty page, or one without text below the
 body, has empty text; text directly in the body is the content if there is no
-element; rows are read one by one at any length; extra columns are not carried.
+element; rows are read one by one, in time that grows as their length, deep or
+flat; rows that repeat give equal rows; an empty table gives an empty result;
+extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterable
 from html import unescape
 from math import e, log
 
@@ -44,6 +53,8 @@ _RAW = frozenset("script style textarea title iframe".split())
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 #: A start tag ends open ones of these kinds, up to a parent that holds them.
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Blocks that hold running text.
+_TEXT = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 _ENDS_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "body"}
 
 
@@ -54,14 +65,27 @@ class Tree:
         self.name, self.parent, self.last = ["#"], [-1], [0]
         self.text: list[tuple[int, str]] = []
         open_, at, silent = [0], 0, 0
+        depths: dict[str, list[int]] = {}  # of the open elements of each name, outermost first
 
         def end(depth: int) -> None:
             nonlocal silent
-            for i in open_[depth:]:
+            for i in reversed(open_[depth:]):
                 self.last[i] = len(self.name) - 1
                 silent -= self.name[i] in _SILENT
+                depths[self.name[i]].pop()
             del open_[depth:]
 
+        def end_nearest(kinds: Iterable[str], within: Iterable[str]) -> None:
+            """Ends the outermost open element of ``kinds`` that is inside the innermost of ``within``."""
+            fence = max((depths[k][-1] for k in within if depths.get(k)), default=0)
+            found = len(open_)
+            for kind in kinds:
+                own = depths.get(kind)
+                if own and own[-1] > fence:
+                    found = min(found, own[bisect_right(own, fence)])
+            if found < len(open_):
+                end(found)
+
         def add(stretch: str) -> None:
             if not silent and stretch:
                 own = " ".join(unescape(stretch).split())
@@ -77,20 +101,19 @@ class Tree:
                 continue
             name = name.lower()
             if close:
-                for depth in range(len(open_) - 1, 0, -1):
-                    if self.name[open_[depth]] == name:
-                        end(depth)
-                        break
+                if depths.get(name):
+                    end(depths[name][-1])
                 continue
             if name in _ENDS_P:
-                self._end_nearest(open_, {"p"}, {"body", "td", "th", "li", "button"}, end)
+                end_nearest(("p",), ("body", "td", "th", "li", "button"))
             if name in _ENDS:
-                self._end_nearest(open_, *_ENDS[name], end)
+                end_nearest(*_ENDS[name])
             self.name.append(name)
             self.parent.append(open_[-1])
             self.last.append(len(self.name) - 1)
             if name in _VOID or m[3].endswith("/"):
                 continue
+            depths.setdefault(name, []).append(len(open_))
             open_.append(len(self.name) - 1)
             silent += name in _SILENT
             if name in _RAW:
@@ -103,17 +126,6 @@ class Tree:
         end(1)
         self.last[0] = len(self.name) - 1
 
-    def _end_nearest(self, open_: list[int], kinds: set[str], within: set[str], end) -> None:
-        found = 0
-        for depth in range(len(open_) - 1, 0, -1):
-            name = self.name[open_[depth]]
-            if name in within:
-                break
-            if name in kinds:
-                found = depth
-        if found:
-            end(found)
-
 
 def content(page: str) -> str:
     """The main text of one page."""
@@ -149,6 +161,9 @@ def content(page: str) -> str:
     best = max(below, key=lambda i: (total[i], -i), default=None)
     if best is None or not total[best]:
         return _write(tree, [(body, tree.last[body])])
+    flat = _flat_run(tree, body, own)
+    if flat and sum(own[i] for i in flat) > total[best]:
+        return _write(tree, [(i, tree.last[i]) for i in flat])
     path, i = [], best
     while i != body:
         path.append(i)
@@ -162,21 +177,34 @@ def content(page: str) -> str:
     return _write(tree, sorted(spans))
 
 
+def _flat_run(tree: Tree, body: int, own: list[float]) -> list[int]:
+    """The run of neighbouring text blocks directly in the body with the largest density sum, the first among equals."""
+    runs: list[list[int]] = [[]]
+    for i in range(body + 1, tree.last[body] + 1):
+        if tree.parent[i] == body:
+            if tree.name[i] in _TEXT:
+                runs[-1].append(i)
+            elif tree.name[i] in _BLOCK:
+                runs.append([])
+    return max((r for r in runs if len(r) > 1), key=lambda r: sum(own[i] for i in r), default=[])
+
+
 def _write(tree: Tree, spans: list[tuple[int, int]]) -> str:
-    """The text of whole subtrees, a line for each block."""
+    """The text of whole subtrees, given in order and apart, a line for each block."""
+    block = [0] * len(tree.name)
+    for i in range(1, len(block)):
+        block[i] = i if tree.name[i] in _BLOCK else block[tree.parent[i]]
     out: list[list[str]] = [[]]
-    block, k = None, 0
+    last, inside = None, [False] * (len(tree.name) + 1)
+    for a, b in spans:
+        inside[a : b + 1] = [True] * (b + 1 - a)
     for i, text in tree.text:
-        if not any(a <= i <= b for a, b in spans):
+        if not inside[i]:
             continue
-        p = i
-        while p > 0 and tree.name[p] not in _BLOCK:
-            p = tree.parent[p]
-        if p != block:
+        if block[i] != last:
             out.append([])
-            block = p
+            last = block[i]
         out[-1].append(text)
-        k += 1
     return "\n".join(" ".join(x) for x in out if x)
 
 

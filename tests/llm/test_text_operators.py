@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from hashlib import sha256
 from html.parser import HTMLParser
@@ -322,6 +323,17 @@ def plain_content(page):
     text = lambda n: [x for k in n["kids"] for x in ([k] if isinstance(k, str) else text(k))]
     if best is None or not best["sum"]:
         return text(body)
+    runs = [[]]  # neighbouring text blocks directly in the body
+    for k in body["kids"]:
+        if isinstance(k, str):
+            continue
+        if k["name"] in html_extract._TEXT:
+            runs[-1].append(k)
+        elif k["name"] in html_extract._BLOCK:
+            runs.append([])
+    flat = max((x for x in runs if len(x) > 1), key=lambda x: sum(k["d"] for k in x), default=[])
+    if flat and sum(k["d"] for k in flat) > best["sum"]:
+        return [x for n in flat for x in text(n)]
     path, n = [], best
     while n is not body:
         path.append(n)
@@ -363,6 +375,26 @@ def test_html_is_read_leniently(page, want):
     assert html_extract.content(page) == want
 
 
+def test_a_flat_page_keeps_its_paragraphs():
+    own = [words(random.Random(i), n) for i, n in enumerate((60, 84, 82, 84, 30))]
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>menu item {i}</a></li>" for i in range(12)) + "</ul>"
+    page = f"<html><body>{menu}<h1>Title of it</h1>{''.join(f'<p>{x}</p>' for x in own)}<div><a href='/'>imprint</a></div></body></html>"
+    assert html_extract.content(page) == "\n".join(["Title of it", *own])
+
+
+N = 1_000_000
+
+
+@pytest.mark.parametrize("name, page", [
+    ("nested", "<div>" * (N // 11) + "deep" + "</div>" * (N // 11)), ("nested paragraphs", "<div><p>x" * (N // 9)), ("unmatched ends", "<div>" * (N // 10) + "</p>" * (N // 10) + "y"), ("unmatched kinds", "".join(f"<x{i % 999}>" for i in range(N // 12)) + "</q>" * (N // 12)),
+    ("flat", "<body>" + "<p>one two three four</p>" * (N // 25)), ("branches", "<body>" + "<div><p>one two</p><p>three <b>four</b></p></div>" * (N // 47)), ("list", "<ul>" + "<li>one" * (N // 7)), ("lists in lists", "<ul><li>a" * (N // 9)), ("tables", "<table><tr><td>x" * (N // 16)), ("inline", "<p>" + "<b>x " * (N // 5)),
+])
+def test_html_takes_time_as_its_length(name, page):
+    began = time.perf_counter()
+    html_extract.content(page)
+    assert time.perf_counter() - began < 12  # 3 s on an idle core
+
+
 def test_html_odd_rows(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, None, ""), (3, None, "<p>x</p>"), (3, None, "<p>x</p>"), (None, None, "<p>y"), (4, None, f"<p>{LONG}</p>"), (5, None, deep), (6, None, "<" * 20_000), (7, None, "<a " + "b='" * 5000)]
