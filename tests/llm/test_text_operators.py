@@ -210,15 +210,28 @@ def test_token_counts_odd_rows(spark):
 
 
 def plain_scan(rows, templates, threshold):
+    """Every run of lines of every text; of those that hold no smaller match, such as share a line are one."""
     out = Counter()
     for doc, text in rows:
-        for no, line in enumerate((text or "").split("\n"), 1):
-            block = set(re.findall("[a-z0-9]+", line.lower()))
-            for name, t in templates.items():
-                own = set(re.findall("[a-z0-9]+", t.lower()))
-                n = len(block & own)
-                if n >= max(1, math.ceil(threshold * len(own) - 1e-9)):
-                    out[(doc, no, name, n, len(own))] += 1
+        sets = [(no, set(re.findall("[a-z0-9]+", line.lower()))) for no, line in enumerate((text or "").split("\n"), 1)]
+        sets = [x for x in sets if x[1]]
+        for name, t in templates.items():
+            own = set(re.findall("[a-z0-9]+", t.lower()))
+            alpha, found = max(1, math.ceil(threshold * len(own) - 1e-9)), {}
+            for i in range(len(sets)):
+                block = set()
+                for j in range(i, len(sets)):
+                    block = block | sets[j][1]
+                    if j > i and len(block) > license_scan.STRETCH * len(own):
+                        break
+                    if len(block & own) >= alpha:
+                        found[i, j] = block
+            least = [(i, j) for i, j in found if not any((a, b) != (i, j) and i <= a and b <= j for a, b in found)]
+            while pair := next(((x, y) for x in least for y in least if x != y and x[0] <= y[1] and y[0] <= x[1]), None):
+                least = [x for x in least if x not in pair] + [(min(x[0] for x in pair), max(x[1] for x in pair))]
+            for i, j in least:
+                block = set().union(*(sets[k][1] for k in range(i, j + 1)))
+                out[(doc, sets[i][0], sets[j][0] - sets[i][0] + 1, name, len(block & own), len(own))] += 1
     return out
 
 
@@ -228,6 +241,7 @@ def test_license_scan(spark, threshold):
     templates = {f"t{k}": words(r, r.randrange(1, 12), 25) for k in range(12)}
     rows = [(i, "\n".join(words(r, r.randrange(0, 14), 25) for _ in range(r.randrange(6)))) for i in range(80)]
     want = plain_scan(rows, templates, threshold)
+    assert len({k[2] for k in want}) > 1 or threshold == 1.0
     assert want and multiset(license_scan.scan(docs(spark, rows), templates, threshold).collect()) == want
 
 
@@ -241,6 +255,37 @@ def test_license_scan_odd_rows(spark):
         license_scan.scan(df, {"none": "!!"})
 
 
+def test_a_wrapped_notice_is_one_match(spark, tmp_path):
+    """The long notices, broken at 40 columns, within a comment and with a blank line; and full texts from files."""
+    rows, want = [], []
+    for k, name in enumerate(("mit-terms", "bsd")):
+        w, broken = license_scan.TEMPLATES[name].split(), [""]
+        for x in w:
+            broken = [*broken[:-1], f"{broken[-1]} {x}".strip()] if len(broken[-1]) < 40 else [*broken, x]
+        rows.append((k, "\n".join(["// Some code", *[f"// {x}" for x in broken[:2]], "", *[f"// {x}" for x in broken[2:]], "int main()"])))
+        want.append((k, name))
+    got = license_scan.scan(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["template"]) for r in got) == want and all(r["n_lines"] > 2 for r in got)
+    full = "\n\n".join(words(random.Random(k), 70, 5000) for k in range(4))
+    (tmp_path / "own.txt").write_text(full)
+    (tmp_path / "notes.md").write_text("no template")
+    text = re.sub(r"((?:\S+\s+){9})", r"\1\n", full)
+    (hit,) = license_scan.scan(docs(spark, [(7, f"before\n{text}\nafter"), (8, full[:300])]), license_scan.read_templates(str(tmp_path))).collect()
+    assert hit["doc_id"] == 7 and hit["template"] == "own" and hit["overlap"] >= 0.8 * hit["n_template"]
+
+
+def test_license_sql_on_wrapped_lines(spark):
+    import duckdb
+
+    r = random.Random(9)
+    templates = {f"t{k}": words(r, r.randrange(2, 12), 25) for k in range(8)}
+    rows = [(i, "\n".join(words(r, r.randrange(0, 5), 25) for _ in range(r.randrange(12)))) for i in range(60)]
+    documents = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert Counter(con.execute(license_scan.oracle(templates, 0.6)).fetchall()) == plain_scan(rows, templates, 0.6)
+
+
 # HTML
 
 
