@@ -75,14 +75,15 @@ class Impact:
         return spark.createDataFrame(self.edges, "from_id string, to_id string, kind string, file string, line int")
 
 
-def impact(edges: DataFrame, root: str, depth: int = 2, max_nodes: int = 40, direction: str = "both", order_by: tuple[str, ...] = SEQ, owners: DataFrame | None = None) -> Impact:
+def impact(edges: DataFrame, root: str, depth: int = 2, max_nodes: int = 40, direction: str = "both", order_by: tuple[str, ...] = SEQ, owners: DataFrame | None = None, inward: DataFrame | None = None) -> Impact:
     """What a node reaches and what reaches it.
 
     Outwards only some kinds are followed, inwards all; a node's cap on edges
     comes before that filter.  Beyond ``max_nodes`` a new node is dropped, an
     edge between known ones still counts.  With ``owners`` (id, dependencies,
     consumers) the first hop is read from the root's relations, whose kinds
-    are spelled with a capital.
+    are spelled with a capital.  ``inward`` are the same edges, stored by their
+    target.
     """
     depth, cap = clamp(depth, 1, 4), clamp(max_nodes, 5, 80)
     g, known, have = Impact([(root, 0)]), {root}, set()
@@ -108,7 +109,7 @@ def impact(edges: DataFrame, root: str, depth: int = 2, max_nodes: int = 40, dir
             out, back = _relations_of(owners, root)
         else:
             out = fetch(edges, frontier, True, cap, order_by) if direction in ("both", "out") else {}
-            back = fetch(edges, frontier, False, cap, order_by) if direction in ("both", "in") else {}
+            back = fetch(edges if inward is None else inward, frontier, False, cap, order_by) if direction in ("both", "in") else {}
         for node in frontier:
             if direction in ("both", "out"):
                 for other, kind, file, line in out.get(node, ()):
@@ -132,13 +133,18 @@ def _relations_of(owners: DataFrame, root: str) -> tuple[dict, dict]:
 
 
 def closure(edges: DataFrame, root: str, kinds: tuple[str, ...]) -> DataFrame:
-    """Every node that reaches ``root`` over edges of these kinds, with its distance; cycles end."""
-    own = edges.where(F.col("kind").isin(*kinds)).select("from_id", "to_id").distinct()
+    """Every node that reaches ``root`` over edges of these kinds, with its distance; cycles end.
+
+    The edges of these kinds are made once.  Each hop writes what it found new,
+    and a frontier is sent to the edges where it is small, by Spark's own size
+    limit, and shuffled where not.
+    """
+    own = cut(edges.where(F.col("kind").isin(*kinds)).select("from_id", "to_id").distinct())
     seen = edges.sparkSession.createDataFrame([(root, 0)], "node string, depth int")
     frontier, d = seen, 0
     while True:
         d += 1
-        near = own.join(frontier, own["to_id"] == frontier["node"]).select(F.col("from_id").alias("node")).distinct()
+        near = own.join(frontier, own["to_id"] == frontier["node"], "left_semi").select(F.col("from_id").alias("node")).distinct()
         frontier = cut(near.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if not frontier.limit(1).count():
             return seen.where("depth > 0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import relation_name
+from ..plans.lineage import cut
 from ..schema import LOC, REL, RELATION_KINDS
 
 
@@ -44,12 +45,14 @@ def to_edges(owners: DataFrame) -> DataFrame:
 def sequence(rows: DataFrame, by: list[str], name: str = "edge_seq") -> DataFrame:
     """Numbers rows from 1 by columns: ranks within hash ranges of the first column, offset by the ranges' counts.
 
-    The order is total over (range of the first column, ``by``).  There are as
-    many ranges as shuffle partitions, so that none outgrows a task; numbers
-    are given once, when an index is built, and stored with it.
+    The order is total over (range of the first column, ``by``), so the first
+    column must have many values: rows that share one are ranked in one task.
+    There are as many ranges as shuffle partitions, so that none outgrows a
+    task.  The rows are written once and numbered from there; numbers are given
+    when an index is built, and stored with it.
     """
     ranges = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = rows.withColumn("_range", F.pmod(F.xxhash64(by[0]), F.lit(ranges)))
+    keyed = cut(rows.withColumn("_range", F.pmod(F.xxhash64(by[0]), F.lit(ranges))))
     counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each range
     ranked = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*by)))
@@ -71,8 +74,8 @@ def save_consumers(owners: DataFrame, edges: DataFrame, new: DataFrame) -> tuple
     """
     fresh = new.select("id", F.col("consumers").alias("_new"))
     kept = owners.join(fresh, "id", "left").withColumn("consumers", F.coalesce("_new", "consumers")).select(*owners.columns)
-    old = (F.col("kind") == "referencedBy") & F.col("id").isNotNull()
-    stay = edges.join(new.select("id"), edges["to_id"] == F.col("id"), "left").where(~old).select(*edges.columns)
+    back = edges.where("kind = 'referencedBy'")
+    stay = edges.where("kind <> 'referencedBy'").unionByName(back.join(new.select("id"), back["to_id"] == F.col("id"), "left_anti"))
     last = edges.agg(F.coalesce(F.max("edge_seq"), F.lit(0)).alias("_last"))
     added = to_edges(new.select("id", F.array().cast(f"array<{REL}>").alias("dependencies"), "consumers"))
     added = added.crossJoin(F.broadcast(last)).withColumn("edge_seq", F.col("edge_seq") + F.col("_last")).drop("_last")

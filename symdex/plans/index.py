@@ -22,6 +22,8 @@ class Index:
     members: DataFrame
     edges: DataFrame
     bodies: DataFrame
+    #: The edges again, stored by their target.
+    edges_in: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLES}

@@ -143,4 +143,4 @@ class Star:
 
     def numbered_edges(self) -> DataFrame:
         """Edges with ``edge_seq`` as operators want it: here any total order will do that all sides share."""
-        return sequence(self.edges, ["leg", "x", "y", "z", "file"])
+        return sequence(self.edges, ["x", "leg", "y", "z", "file"])

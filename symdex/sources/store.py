@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from ..operators.extraction import duplicate_types
 from ..operators.relations import migrate
 from ..plans.index import TABLES, Index
+from ..plans.lineage import cut, held
 from ..schema import DDL, conform, schema
 
 SCHEMA_VERSION = "1"
 POINTER = "CURRENT"
+#: The edges in order of their target, and the bytes of a row group of either copy.
+INWARD, EDGE_BLOCK = "edges_in", 8 << 20
 BODY_CHARS = 512_000
 
 
@@ -80,6 +83,10 @@ class Store:
             made[t] = conform(self.spark.read.parquet(str(p.toString())), t) if there else self.spark.createDataFrame([], schema(t))
         if version is not None and self._meta(made["meta"]).get("schema_version", "0") == "0":
             made["edges"] = conform(migrate(made["edges"], made["types"], made["members"]), "edges")
+            return Index(**made)
+        p, fs = _path(self.spark, f"{self.path}/{version}/{INWARD}")
+        if version is not None and fs.exists(p):
+            made[INWARD] = conform(self.spark.read.parquet(str(p.toString())), "edges")
         return Index(**made)
 
     @staticmethod
@@ -100,7 +107,10 @@ class Store:
         for t in TABLES:
             if t != "meta":
                 df = conform(tables[t], t) if t in tables else self.spark.createDataFrame([], schema(t))
-                df.write.parquet(f"{self.path}/{version}/{t}")
+                if t == "edges":
+                    self._write_edges(df, version)
+                else:
+                    df.write.parquet(f"{self.path}/{version}/{t}")
         edges = self.spark.read.schema(schema("edges")).parquet(f"{self.path}/{version}/edges").count()
         known |= {"schema_version": SCHEMA_VERSION, "indexed_at_utc": datetime.now(timezone.utc).isoformat(), "edge_count": str(edges)} | (meta or {})
         self.spark.createDataFrame(sorted(known.items()), DDL["meta"]).coalesce(1).write.parquet(f"{self.path}/{version}/meta")
@@ -108,6 +118,13 @@ class Store:
         self._prune(keep)
         return version
 
+    def _write_edges(self, edges: DataFrame, version: str) -> None:
+        """Edges in order of their source, and again of their target: a hop skips all row groups but those of its nodes."""
+        made = cut(edges)
+        for key, name in (("from_id", "edges"), ("to_id", INWARD)):
+            by = made.repartitionByRange(F.col(key), F.col("edge_seq")).sortWithinPartitions(key, "edge_seq")
+            by.write.option("parquet.block.size", EDGE_BLOCK).parquet(f"{self.path}/{version}/{name}")
+
     def _prune(self, keep: int) -> None:
         """Deletes all but the newest versions; a reader may still be in the one before."""
         p, fs = _path(self.spark, self.path)
