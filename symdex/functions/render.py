@@ -42,6 +42,40 @@ def capped_json(value, limit: int | None = None) -> str:
     return text if len(text) <= limit else json.dumps({"truncated": True, "maxChars": limit, "preview": text[:500]}, ensure_ascii=False)
 
 
+def _camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(x.capitalize() for x in rest)
+
+
+def plain(value):
+    """A value for JSON: keys in camel case, nothing that is null."""
+    if isinstance(value, dict):
+        return {_camel(k): plain(v) for k, v in value.items() if v is not None}
+    return [plain(x) for x in value] if isinstance(value, (list, tuple)) else value
+
+
+def relation_groups(row: dict, full: bool = False, limit: int = RELATIONS) -> dict:
+    """Names of an owner's relations by group, with totals; compact output hides those of signatures and shows five consumers."""
+    out = {}
+    deps, consumers = row.get("dependencies") or [], row.get("consumers") or []
+    for name, rel, n in (
+        ("calls", [r for r in deps if r["kind"] == "calls"], limit), ("structural", [r for r in deps if r["kind"] in ("inherits", "implements")], limit),
+        ("signature", [r for r in deps if r["kind"] in ("usesInSignature", "usesInMember")], limit if full else 0), ("consumers", consumers, limit if full else min(5, limit)),
+    ):
+        names = [_short((r["targetName"] or r["targetId"]).split("(")[0], 80) for r in rel[:n]]
+        out[name] = {"total": len(rel), "names": names, "truncated": len(rel) > n}
+    return out
+
+
+def detail_data(row: dict, full: bool = False) -> dict:
+    """A type or member for JSON."""
+    start, end = row.get("start_line"), row.get("end_line")
+    kept = {k: row.get(k) for k in ("id", "name", "full_name", "type_full_name", "kind", "signature", "return_type", "accessibility", "summary", "relative_path", "is_generated", "token_estimate")}
+    lines = {"start": start, "end": end, "count": end - start + 1 if start and end and end >= start else 0} if start else None
+    places = [{"path": x["relativePath"] or x["fileId"], "start": x["startLine"], "end": x["endLine"], "primary": x["isPrimary"]} for x in row.get("locations") or ()]
+    return kept | {"lines": lines, "locations": places or None, "relations": relation_groups(row, full)}
+
+
 def _short(text: str, limit: int) -> str:
     return text if len(text) <= limit else text[: limit - 1] + "…"
 
@@ -78,27 +112,28 @@ def overview(status: dict, projects: list[dict], types: list[dict], members: dic
 
 
 def hits(rows: list[dict], text: str, full: bool = False, limit: int | None = None) -> str:
-    out = [f"# Search: {text}", ""]
+    out = [f"# Search: {text}", "", f"{len(rows)} hits", ""]
     for r in rows[:HARD_HITS]:
         if r["category"] == "body":
             out.append(f"- {r['name']}:{r['line']} {r['text'] or ''} ({r['id']})")
-        else:
-            out.append(f"- {r['category']} {r['name']} ({r['id']})" + (f" — {r['summary']}" if full and r.get("summary") else ""))
+            continue
+        name = f"{r['parent_type']}.{r['name']}" if r.get("parent_type") else r["name"]
+        said = f" {_short(r['signature'], 120)}" if r.get("signature") else ""
+        out.append(f"- {r['category']} {name}{said} ({r['id']}){_where(r)}" + (f" — {r['summary']}" if full and r.get("summary") else ""))
     return finish("\n".join(out if rows else [*out, "nothing found"]), limit)
 
 
+_TITLES = {"calls": "Calls", "structural": "Structure", "signature": "Signature", "consumers": "Consumers"}
+
+
 def _slices(row: dict, full: bool, limit: int) -> list[str]:
     out = []
-    deps, consumers = row.get("dependencies") or [], row.get("consumers") or []
-    for title, rel, n in (
-        ("Calls", [r for r in deps if r["kind"] == "calls"], limit), ("Structure", [r for r in deps if r["kind"] in ("inherits", "implements")], limit),
-        ("Signature", [r for r in deps if r["kind"] in ("usesInSignature", "usesInMember")], limit if full else 0), ("Consumers", consumers, limit if full else min(5, limit)),
-    ):
-        if rel and n:
-            names = [_short((r["targetName"] or r["targetId"]).split("(")[0], 80) for r in rel[:n]]
-            out += ["", f"{title} ({len(rel)}): {', '.join(names)}" + (f", +{len(rel) - n} more" if len(rel) > n else "")]
-        elif rel:
-            out += ["", f"{title}: {len(rel)}"]
+    for name, g in relation_groups(row, full, limit).items():
+        if g["names"]:
+            more = g["total"] - len(g["names"])
+            out += ["", f"{_TITLES[name]} ({g['total']}): {', '.join(g['names'])}" + (f", +{more} more" if more else "")]
+        elif g["total"]:
+            out += ["", f"{_TITLES[name]}: {g['total']}"]
     return out
 
 
@@ -158,4 +193,5 @@ def quality(row: dict, limit: int | None = None) -> str:
 
 
 def checks(rows: list[dict], limit: int | None = None) -> str:
-    return finish("\n".join(["# Doctor", ""] + [f"- {'ok' if r['ok'] else r['severity']} {r['name']}: {r['message']}" for r in rows]), limit)
+    good = sum(r["ok"] for r in rows)
+    return finish("\n".join(["# Doctor", "", f"{good} pass, {len(rows) - good} fail", ""] + [f"- {'ok' if r['ok'] else r['severity']} {r['name']}: {r['message']}" for r in rows]), limit)

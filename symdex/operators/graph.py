@@ -123,6 +123,15 @@ def impact(edges: DataFrame, root: str, depth: int = 2, max_nodes: int = 40, dir
     return g
 
 
+def named(nodes: DataFrame, types: DataFrame, members: DataFrame) -> DataFrame:
+    """Nodes of an impact graph (at most 80) under their symbols' names; what the index hasn't keeps the name made from its id."""
+    some = F.broadcast(nodes.select(F.col("id").alias("_id")))
+    full = F.concat_ws(".", "full_name", "name")
+    own = members.join(some, F.col("id") == F.col("_id"), "left_semi").select("id", "type_id", "name").join(types.select(F.col("id").alias("_t"), "full_name"), F.col("type_id") == F.col("_t"))
+    known = types.join(some, F.col("id") == F.col("_id"), "left_semi").select(F.col("id").alias("_n"), F.col("full_name").alias("_name")).unionByName(own.select(F.col("id").alias("_n"), full.alias("_name")))
+    return nodes.join(known, F.col("id") == F.col("_n"), "left").select("id", F.coalesce("_name", "name").alias("name"), "kind", "depth").orderBy("depth", "name", "id")
+
+
 def _relations_of(owners: DataFrame, root: str) -> tuple[dict, dict]:
     row = owners.where(F.col("id") == root).select(of_kind(F.col("dependencies"), *OUTBOUND_KINDS), "consumers").limit(1).collect()
     if not row:

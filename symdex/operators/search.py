@@ -1,27 +1,61 @@
-"""Full-text search: postings, BM25 with prefix terms, the LIKE fallback, and line location in bodies."""
+"""Full-text search: postings, BM25 with prefix terms, the LIKE fallback, and line location in bodies.
+
+Tokens are runs of letters and digits, lower-cased, without accents, and by
+default stemmed.  Postings are made once, when an index is stored, in order of
+the token; a search reads those of its terms, in one scan, and brings its hits,
+at most 200, to the driver.
+"""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+import unicodedata
+from dataclasses import dataclass
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import basename, cut
-from ..functions.stemming import stem
+from ..functions.stemming import porter, stem
 from .catalog import clamp
 
 K1, B = 1.2, 0.75
 INDEX_TOKEN = r"[\p{L}\p{N}]+"
+#: What is searched of each category, in this order.
+FIELDS = {"type": ("full_name", "name", "summary"), "member": ("type_full_name", "name", "signature", "summary"), "body": ("content",)}
+HIT = "category string, id string, name string, score double"
+
+
+@cache
+def _accents() -> tuple[str, str]:
+    """Lower-case letters with accents and the letters that they stand for; accents by themselves stand for nothing."""
+    with_, without = [], []
+    for code in range(0xC0, 0x2100):
+        c = chr(code)
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and unicodedata.category(base)[0] == "L" and all(unicodedata.category(m) == "Mn" for m in marks):
+            with_.append(c)
+            without.append(base)
+    return "".join(with_) + "".join(map(chr, range(0x300, 0x370))), "".join(without)
+
+
+def fold(text: Column) -> Column:
+    return F.translate(F.lower(text), *_accents())
+
 
+def folded(text: str) -> str:
+    with_, without = _accents()
+    return text.lower().translate({ord(c): (without[i] if i < len(without) else None) for i, c in enumerate(with_)})
 
-def query_terms(text: str) -> list[list[str]]:
+
+def query_terms(text: str, stemmed: bool = False) -> list[list[str]]:
     """The first 12 query tokens, each as the index tokens that it is a phrase of."""
     import regex
 
     found = regex.findall(r"[\p{L}\p{N}_.]+", text)[:12]
-    return [t for t in ([x.lower() for x in regex.findall(INDEX_TOKEN, f)] for f in found) if t]
+    terms = [t for t in (regex.findall(INDEX_TOKEN, folded(f)) for f in found) if t]
+    return [[porter(x) for x in t] for t in terms] if stemmed else terms
 
 
 def like_text(text: str) -> str:
@@ -29,9 +63,13 @@ def like_text(text: str) -> str:
     return f"%{bare}%" if bare else "%"
 
 
-def postings(docs: DataFrame, id_col: str, fields: list[str], stemmed: bool = False) -> DataFrame:
-    """(token, doc, positions, dl): positions count over all fields, with a gap between two; dl is the document's tokens."""
-    each = [F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit(INDEX_TOKEN), F.lit(0)) for f in fields]
+def _tokens(field: str) -> Column:
+    return F.regexp_extract_all(fold(F.coalesce(field, F.lit(""))), F.lit(INDEX_TOKEN), F.lit(0))
+
+
+def postings(docs: DataFrame, id_col: str, fields: tuple[str, ...] | list[str], stemmed: bool = True) -> DataFrame:
+    """(token, doc, dl, positions): positions count over all fields, with a gap between two; dl is the document's tokens."""
+    each = [_tokens(f) for f in fields]
     gap = F.array(F.lit(""))
     whole = F.concat(*[x for a in each for x in (a, gap)][:-1])
     dl = reduce(lambda a, b: a + b, [F.size(a) for a in each])
@@ -41,27 +79,52 @@ def postings(docs: DataFrame, id_col: str, fields: list[str], stemmed: bool = Fa
     return rows.groupBy("token", "doc", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def stats(docs: DataFrame, fields: list[str]) -> DataFrame:
+def stats(docs: DataFrame, fields: tuple[str, ...] | list[str]) -> DataFrame:
     """One row: number of documents and their average length."""
-    dl = reduce(lambda a, b: a + b, [F.size(F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit(INDEX_TOKEN), F.lit(0))) for f in fields])
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(dl).alias("avg_dl"))
+    dl = reduce(lambda a, b: a + b, [F.size(_tokens(f)) for f in fields])
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(dl), F.lit(0.0)).alias("avg_dl"))
+
 
+def documents(types: DataFrame, members: DataFrame, bodies: DataFrame) -> dict[str, tuple[DataFrame, str]]:
+    """What is searched in each category, and the column that names it."""
+    named = types.select(F.col("id").alias("_t"), F.col("full_name").alias("type_full_name"))
+    return {"type": (types, "id"), "member": (members.join(named, F.col("type_id") == F.col("_t")), "id"), "body": (bodies, "file_id")}
 
-def _term(post: DataFrame, term: list[str], k: int) -> DataFrame:
-    """(term, doc, dl, tf) of one phrase whose last token is a prefix."""
-    parts = [post.where(F.col("token") == t) for t in term[:-1]] + [post.where(F.col("token").startswith(term[-1]))]
-    at = parts[0].select("doc", "dl", F.explode("positions").alias("p"))
-    for i, part in enumerate(parts[1:], 1):
-        nxt = part.select("doc", F.explode("positions").alias("p")).withColumn("p", F.col("p") - i)
-        at = at.join(nxt, ["doc", "p"])
-    return at.groupBy("doc", "dl").agg(F.count(F.lit(1)).alias("tf")).withColumn("term", F.lit(k))
+
+@dataclass(frozen=True)
+class Postings:
+    """Postings of one category and their statistics."""
+
+    rows: DataFrame
+    stats: DataFrame
+    stemmed: bool = True
+
+    @classmethod
+    def of(cls, docs: DataFrame, id_col: str, category: str, stemmed: bool = True) -> Postings:
+        return cls(postings(docs, id_col, FIELDS[category], stemmed), stats(docs, FIELDS[category]), stemmed)
 
 
 def bm25(post: DataFrame, stat: DataFrame, terms: list[list[str]]) -> DataFrame:
-    """(doc, score) of documents that match every term; a better score is lower."""
+    """(doc, score) of documents that match every term; a better score is lower.
+
+    A term is a phrase whose last token is a prefix.  Postings are scanned
+    once: each that a term has a part of gives its positions, moved back by the
+    part's place, and a phrase is where all its parts agree.
+    """
     if not terms:
         return post.select("doc", F.lit(0.0).alias("score")).limit(0)
-    hits = reduce(DataFrame.unionByName, [_term(post, t, k) for k, t in enumerate(terms)])
+    token = F.col("token")
+    parts = [(k, j, token.startswith(t) if j == len(term) - 1 else token == t) for k, term in enumerate(terms) for j, t in enumerate(term)]
+    place = F.array(*[F.when(hit, F.struct(F.lit(k).alias("term"), F.lit(j).alias("part"))) for k, j, hit in parts])
+    some = post.where(reduce(lambda a, b: a | b, [hit for *_, hit in parts])).select("doc", "dl", "positions", F.explode(F.array_compact(place)).alias("at"))
+    moved = F.transform("positions", lambda p: p - F.col("at.part"))
+    own = [F.flatten(F.collect_list(F.when(F.col("at.part") == j, moved))).alias(f"p{j}") for j in range(max(map(len, terms)))]
+    met = some.groupBy(F.col("at.term").alias("term"), "doc", "dl").agg(*own)
+    length = F.element_at(F.array(*[F.lit(len(t)) for t in terms]), F.col("term") + 1)
+    both = F.col("p0")
+    for j in range(1, len(own)):
+        both = F.when(length > j, F.array_intersect(both, f"p{j}")).otherwise(both)
+    hits = met.select("term", "doc", "dl", F.size(both).alias("tf")).where("tf > 0")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     joined = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stat))  # 12 rows at most, and one
     idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
@@ -69,10 +132,11 @@ def bm25(post: DataFrame, stat: DataFrame, terms: list[list[str]]) -> DataFrame:
     return joined.groupBy("doc").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("_terms")).where(F.col("_terms") == len(terms)).drop("_terms")
 
 
-def _with_fallback(found: DataFrame, like: DataFrame) -> DataFrame:
-    """``like`` counts only if nothing was found, in one plan."""
-    none = F.broadcast(found.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none")))
-    return found.unionByName(like.crossJoin(none).where("_none").drop("_none"))
+def _top(post: Postings, text: str, limit: int) -> DataFrame | None:
+    """(doc, score) of the best, at most 200, or None if there are none."""
+    scored = bm25(post.rows, post.stats, query_terms(text, post.stemmed))
+    rows = scored.orderBy("score", "doc").limit(min(limit, 200)).collect()
+    return post.rows.sparkSession.createDataFrame([tuple(r) for r in rows], "doc string, score double") if rows else None
 
 
 def like_types(types: DataFrame, text: str, limit: int) -> DataFrame:
@@ -90,28 +154,22 @@ def like_members(members: DataFrame, types: DataFrame, text: str, limit: int) ->
     return rows.orderBy("full_name", "name", "id").limit(limit).select(F.lit("member").alias("category"), "id", "name", F.lit(None).cast("double").alias("score"))
 
 
-def search_types(types: DataFrame, text: str, limit: int, stemmed: bool = False) -> DataFrame:
-    fields = ["full_name", "name", "summary"]
-    scored = bm25(postings(types, "id", fields, stemmed), stats(types, fields), _terms(text, stemmed))
-    top = scored.orderBy("score", "doc").limit(limit).join(types.select("id", F.col("full_name").alias("name")), F.col("doc") == F.col("id"))
-    found = top.select(F.lit("type").alias("category"), "id", "name", "score")
-    return _with_fallback(found, like_types(types, text, limit))
-
+def search_types(types: DataFrame, text: str, limit: int, post: Postings | None = None) -> DataFrame:
+    """Types by BM25, or by LIKE if no token matches."""
+    top = _top(post or Postings.of(types, "id", "type"), text, limit)
+    if top is None:
+        return like_types(types, text, limit)
+    found = types.select("id", F.col("full_name").alias("name")).join(F.broadcast(top), F.col("id") == F.col("doc"))  # at most 200
+    return found.select(F.lit("type").alias("category"), "id", "name", "score")
 
-def search_members(members: DataFrame, types: DataFrame, text: str, limit: int, stemmed: bool = False) -> DataFrame:
-    fields = ["type_full_name", "name", "signature", "summary"]
-    named = members.join(types.select(F.col("id").alias("_t"), F.col("full_name").alias("type_full_name")), F.col("type_id") == F.col("_t"))
-    scored = bm25(postings(named, "id", fields, stemmed), stats(named, fields), _terms(text, stemmed))
-    top = scored.orderBy("score", "doc").limit(limit).join(members.select("id", "name"), F.col("doc") == F.col("id"))
-    found = top.select(F.lit("member").alias("category"), "id", "name", "score")
-    return _with_fallback(found, like_members(members, types, text, limit))
 
-
-def _terms(text: str, stemmed: bool) -> list[list[str]]:
-    from ..functions.stemming import porter
-
-    terms = query_terms(text)
-    return [[porter(x) for x in t] for t in terms] if stemmed else terms
+def search_members(members: DataFrame, types: DataFrame, text: str, limit: int, post: Postings | None = None) -> DataFrame:
+    """Members by BM25, or by LIKE if no token matches."""
+    top = _top(post or Postings.of(documents(types, members, types)["member"][0], "id", "member"), text, limit)
+    if top is None:
+        return like_members(members, types, text, limit)
+    found = members.select("id", "name").join(F.broadcast(top), F.col("id") == F.col("doc"))  # at most 200
+    return found.select(F.lit("member").alias("category"), "id", "name", "score")
 
 
 def first_match(content: Column, tokens: list[str]) -> Column:
@@ -128,28 +186,42 @@ def first_match(content: Column, tokens: list[str]) -> Column:
     return F.struct(line.alias("line"), cut(F.trim(F.when(hit.isNotNull(), hit["x"]).otherwise(first)), 161).alias("text"))
 
 
-def search_bodies(bodies: DataFrame, text: str, limit: int, stemmed: bool = False) -> DataFrame:
+def search_bodies(bodies: DataFrame, text: str, limit: int, post: Postings | None = None) -> DataFrame:
     """Files by BM25 of their bodies, with the first matching line; no fallback."""
     import regex
 
-    scored = bm25(postings(bodies, "file_id", ["content"], stemmed), stats(bodies, ["content"]), _terms(text, stemmed))
-    top = scored.orderBy("score", "doc").limit(limit)
+    top = _top(post or Postings.of(bodies, "file_id", "body"), text, limit)
+    if top is None:
+        top = bodies.sparkSession.createDataFrame([], "doc string, score double")
     rows = bodies.join(F.broadcast(top), bodies["file_id"] == F.col("doc"))  # at most 200
     tokens = regex.findall(r"[\p{L}\p{N}_.]+", text)[:12]
     m = first_match(F.col("content"), tokens)
     return rows.select(F.lit("body").alias("category"), F.col("file_id").alias("id"), basename(F.col("relative_path")).alias("name"), "score", m["line"].alias("line"), m["text"].alias("text"))
 
 
-def search(index, text: str, kind: str = "all", limit: int = 20, body: bool = False, stemmed: bool = False) -> DataFrame:
+def search(index, text: str, kind: str = "all", limit: int = 20, body: bool = False, post: dict[str, Postings] | None = None) -> DataFrame:
     """Types and members; members get what types leave of the limit, at least one."""
-    limit = clamp(limit, 1, 200)
+    limit, post = clamp(limit, 1, 200), post if post is not None else getattr(index, "search", None) or {}
     if body:
-        return search_bodies(index.bodies, text, limit, stemmed).orderBy("score", "id")
-    found = None
+        return search_bodies(index.bodies, text, limit, post.get("body")).orderBy("score", "id")
+    spark, rows = index.types.sparkSession, []
     if kind in ("all", "type"):
-        found = search_types(index.types, text, limit, stemmed)
+        rows += search_types(index.types, text, limit, post.get("type")).collect()  # at most the limit
     if kind in ("all", "member"):
-        budget = limit if kind == "member" else max(1, limit - found.count())
-        more = search_members(index.members, index.types, text, budget, stemmed)
-        found = more if found is None else found.unionByName(more)
+        rows += search_members(index.members, index.types, text, limit if kind == "member" else max(1, limit - len(rows)), post.get("member")).collect()
+    found = spark.createDataFrame([tuple(r) for r in rows], HIT)
     return found.orderBy(F.coalesce("score", F.lit(0.0)), F.upper("name"), "id").limit(limit)
+
+
+def described(hits: DataFrame, index) -> DataFrame:
+    """Hits with what a reader wants to see: kind, parent type, signature, summary, path and line."""
+    files = index.source_files.select(F.col("id").alias("_f"), "relative_path")
+    names = index.types.select(F.col("id").alias("_t"), F.col("full_name").alias("parent_type"))
+    none = F.lit(None).cast("string")
+    types = index.types.select(F.col("id").alias("_id"), "kind", none.alias("parent_type"), none.alias("signature"), "summary", "file_id", "start_line")
+    some = hits.select(F.col("id").alias("_hit"))
+    members = index.members.join(F.broadcast(some), F.col("id") == F.col("_hit"), "left_semi").join(names, F.col("type_id") == F.col("_t"))
+    members = members.select(F.col("id").alias("_id"), "kind", "parent_type", "signature", "summary", "file_id", "start_line")
+    each = types.join(F.broadcast(some), F.col("_id") == F.col("_hit"), "left_semi").unionByName(members)
+    known = each.join(files, F.col("file_id") == F.col("_f"), "left").drop("file_id", "_f")
+    return F.broadcast(hits).join(known, F.col("id") == F.col("_id")).drop("_id").orderBy(F.coalesce("score", F.lit(0.0)), F.upper("name"), "id")  # at most 200 hits

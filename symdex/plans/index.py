@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -24,6 +24,8 @@ class Index:
     bodies: DataFrame
     #: The edges again, stored by their target.
     edges_in: DataFrame | None = None
+    #: Stored postings by category, as ``operators.search`` takes them.
+    search: dict = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLES}

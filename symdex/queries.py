@@ -8,6 +8,7 @@ the SQL stands behind a WITH of the tables that it names.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def _tok(*parts: str) -> str:
 TABLES = {
     "projects": "SELECT 'project:' || n_name AS id, n_name AS name, '/' || r_name || '/' || n_name || '.csproj' AS path, CASE WHEN n_nationkey % 4 <> 0 THEN r_name END AS target_framework, n_nationkey % 5 = 0 AS is_test, sha256('/' || r_name || '/' || n_name || '.csproj') AS file_hash, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey",
     "files": f"SELECT 'file:' || doc_id AS id, 'project:' || n_name AS project_id, {_FILE} AS relative_path, '/star/' || {_FILE} AS absolute_path, sha256(text) AS content_hash, n_chars::INT AS length_chars, doc_id % 9 = 0 AS is_generated, doc_id FROM documents JOIN nation ON doc_id % 25 = n_nationkey",
-    "bodies": f"SELECT 'file:' || doc_id AS file_id, {_FILE} AS relative_path, substr(text, 1, 512000) AS content FROM documents WHERE length(text) > 0",
+    "bodies": f"SELECT 'file:' || doc_id AS file_id, {_FILE} AS relative_path, text AS content FROM documents WHERE length(text) > 0",
     "types": "SELECT 'type:' || c_name AS id, p.id AS project_id, c_name AS name, p.name || '.' || c_mktsegment || '.' || c_name AS full_name, (['class','record','struct','interface','enum','delegate'])[(c_custkey % 6 + 1)::INT] AS kind, (['public','internal','private'])[(c_custkey % 3 + 1)::INT] AS accessibility, CASE WHEN c_custkey % 4 <> 0 THEN 'Customer in ' || c_mktsegment || '.' END AS summary, CASE WHEN c_custkey % 17 <> 0 THEN 'file:' || (c_custkey % 200) END AS file_id, CASE WHEN c_custkey % 11 <> 0 THEN 1 + c_custkey % 50 END AS start_line, CASE WHEN c_custkey % 11 <> 0 THEN 1 + c_custkey % 50 + c_custkey % 97 END AS end_line, floor(abs(c_acctbal))::INT AS size_chars, c_custkey FROM customer JOIN projects p ON c_nationkey = n_nationkey",
     "members": f"SELECT {_MEMBER} AS id, 'type:Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS type_id, 'Op' || o_orderkey AS name, {_KIND} AS kind, o_orderpriority || ' Op' || o_orderkey || '(' || o_orderstatus || ')' AS signature, (['public','internal','private','protected'])[(o_orderkey % 4 + 1)::INT] AS accessibility, CASE WHEN o_orderkey % 5 <> 1 THEN o_orderpriority END AS return_type, CASE WHEN o_orderkey % 3 <> 0 THEN 'Order with status ' || o_orderstatus || '.' END AS summary, CASE WHEN o_orderkey % 17 <> 0 THEN 'file:' || (o_orderkey % 200) END AS file_id, CASE WHEN o_orderkey % 13 <> 0 THEN 1 + o_orderkey % 400 END AS start_line, CASE WHEN o_orderkey % 13 <> 0 THEN 1 + o_orderkey % 400 + o_orderkey % 61 END AS end_line, floor(o_totalprice / 100)::INT AS size_chars, o_orderkey FROM orders",
     "calls": "SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS back FROM lineitem GROUP BY l_orderkey",
@@ -410,40 +411,90 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
+@dataclass(frozen=True)
+class _Parts:
+    """So much of an index as a search needs."""
+
+    types: DataFrame
+    members: DataFrame
+    source_files: DataFrame | None = None
+
+
+def _plain(s: Star) -> search.Postings:
+    return search.Postings.of(search.documents(s.types, s.orders, s.types)["member"][0], "id", "member", stemmed=False)
+
+
 @_query("SELECT * FROM type", "types", _fts_sql("types", "id", ["full_name", "name", "summary"], ["machinery", "0000000"], "full_name", "type", 20))
 def search_types(spark, sf_dir):
-    return _rounded(search.search_types(Star(spark, sf_dir).types, "Machinery 0000000", 20))
+    t = Star(spark, sf_dir).types
+    return _rounded(search.search_types(t, "Machinery 0000000", 20, search.Postings.of(t, "id", "type", stemmed=False)))
 
 
 @_query("SELECT * FROM member", "typed", _fts_sql("typed", "id", ["type_full_name", "name", "signature", "summary"], ["op12", "urgent"], "name", "member", 20))
 def search_members(spark, sf_dir):
     s = Star(spark, sf_dir)
-    return _rounded(search.search_members(s.orders, s.types, "op12 URGENT", 20))
+    return _rounded(search.search_members(s.orders, s.types, "op12 URGENT", 20, _plain(s)))
 
 
 @_query("SELECT 'type' AS category, id, full_name AS name, NULL::DOUBLE AS score FROM types WHERE full_name ILIKE '%omer#00000001%' OR name ILIKE '%omer#00000001%' OR summary ILIKE '%omer#00000001%' ORDER BY full_name, id LIMIT 20", "types")
 def search_like_types(spark, sf_dir):
     """No token begins like this, so the search falls back to LIKE."""
-    return search.search_types(Star(spark, sf_dir).types, "omer#00000001", 20)
+    t = Star(spark, sf_dir).types
+    return search.search_types(t, "omer#00000001", 20, search.Postings.of(t, "id", "type", stemmed=False))
 
 
 @_query("SELECT 'member' AS category, id, name, NULL::DOUBLE AS score FROM typed WHERE name ILIKE '%p123%' OR signature ILIKE '%p123%' OR summary ILIKE '%p123%' ORDER BY type_full_name, name, id LIMIT 20", "typed")
 def search_like_members(spark, sf_dir):
     s = Star(spark, sf_dir)
-    return search.search_members(s.orders, s.types, "p123", 20)
+    return search.search_members(s.orders, s.types, "p123", 20, _plain(s))
 
 
 @_query("SELECT category, body.id, split_part(relative_path, '/', -1) AS name, score, no AS line, trim(text) AS text FROM body JOIN l ON l.file_id = body.id JOIN bodies b ON b.file_id = body.id", "bodies", _fts_sql("bodies", "file_id", ["content"], ["licensed"], "relative_path", "body", 20) + r""",
 l AS (SELECT file_id, no, text FROM (SELECT file_id, no, CASE WHEN length(trim(line)) > 161 THEN substr(trim(line), 1, 160) || '…' ELSE trim(line) END AS text, row_number() OVER (PARTITION BY file_id ORDER BY no) AS k FROM (SELECT file_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS no FROM bodies) WHERE contains(lower(line), 'licensed')) WHERE k = 1)""")
 def search_bodies(spark, sf_dir):
-    return _rounded(search.search_bodies(Star(spark, sf_dir).bodies, "licensed", 20))
+    b = Star(spark, sf_dir).bodies
+    return _rounded(search.search_bodies(b, "licensed", 20, search.Postings.of(b, "file_id", "body", stemmed=False)))
+
+
+#: Porter's stems of all words of types and members that aren't their own, by hand.
+_STEMS = {
+    "customer": "custom", "building": "build", "automobile": "automobil", "machinery": "machineri", "furniture": "furnitur", "status": "statu", "specified": "specifi", "ordered": "order", "urgently": "urgent", "nation": "nation", "region": "region",
+}
+_STEM_ROWS = ", ".join(f"('{w}', '{x}')" for w, x in _STEMS.items())
+
+
+def _stemmed_sql(rows: str, fields: list[str], terms: list[str], name: str, category: str, limit: int) -> str:
+    """The same search over stems; words that the list lacks are their own."""
+    each = ", ".join(_TOKENS.format(f"strip_accents(coalesce({f}, ''))") for f in fields)
+    hits = " UNION ALL ".join(f"SELECT {k} AS term, id, any_value(dl) AS dl, count(*) AS tf FROM {category}_w WHERE starts_with(w, '{t}') GROUP BY id" for k, t in enumerate(terms))
+    c = category
+    return f"""{c}_d AS (SELECT id, {name} AS name, flatten([{each}]) AS w, len(w) AS dl FROM {rows}),
+{c}_w AS (SELECT id, dl, coalesce(x, w) AS w FROM (SELECT id, dl, unnest(w) AS w FROM {c}_d) LEFT JOIN (VALUES {_STEM_ROWS}) v(own, x) ON own = w),
+{c}_h AS ({hits}), {c}_n AS (SELECT term, count(*) AS n FROM {c}_h GROUP BY 1), {c}_s AS (SELECT count(*) AS total, avg(dl) AS mean FROM {c}_d),
+{c}_b AS (SELECT h.id, -sum(greatest(ln((total - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * h.dl / mean))) AS score FROM {c}_h h JOIN {c}_n USING (term), {c}_s GROUP BY h.id HAVING count(*) = {len(terms)}),
+{c} AS (SELECT '{c}' AS category, b.id, d.name, round(score, 6) AS score FROM {c}_b b JOIN {c}_d d USING (id) ORDER BY b.score, b.id LIMIT {limit})"""
+
 
+_MEMBER_FIELDS, _TYPE_FIELDS = ["type_full_name", "name", "signature", "summary"], ["full_name", "name", "summary"]
 
-@_query()
+
+@_query("SELECT * FROM member", "typed", _stemmed_sql("typed", _MEMBER_FIELDS, ["order", "urgent"], "name", "member", 20))
 def search_stemmed(spark, sf_dir):
-    """Porter stems on both sides; SQL has no stemmer."""
+    """Porter stems on both sides, as is the default."""
+    s = Star(spark, sf_dir)
+    return _rounded(search.search_members(s.orders, s.types, "ordered urgently", 20))
+
+
+@_query("SELECT category, a.id, a.name, score, m.kind, type_full_name AS parent_type, signature, summary, start_line, relative_path FROM (SELECT * FROM member ORDER BY score, id LIMIT 18) a JOIN typed m ON m.id = a.id LEFT JOIN files f ON f.id = m.file_id"
+        " UNION ALL SELECT category, a.id, a.name, score, t.kind, NULL, NULL, summary, start_line, relative_path FROM type a JOIN types t ON t.id = a.id LEFT JOIN files f ON f.id = t.file_id",
+        "typed files", _stemmed_sql("types", _TYPE_FIELDS, ["00000001", "machineri"], "full_name", "type", 2) + ",\n" + _stemmed_sql("typed", _MEMBER_FIELDS, ["00000001", "machineri"], "name", "member", 18))
+def search_all(spark, sf_dir):
+    """Types, and members with what they leave of the limit; each with what is shown of it."""
     s = Star(spark, sf_dir)
-    return _rounded(search.search_members(s.orders, s.types, "ordered urgently", 20, stemmed=True))
+    types, members = search.Postings.of(s.types, "id", "type"), search.Postings.of(search.documents(s.types, s.orders, s.types)["member"][0], "id", "member")
+    two = search.search(_Parts(s.types, s.orders), "00000001 machineries", "type", 2, post={"type": types}).collect()
+    hits = search.search(_Parts(s.types, s.orders), "00000001 machineries", "member", 20 - len(two), post={"member": members}).unionByName(spark.createDataFrame([tuple(r) for r in two], search.HIT))
+    return _rounded(search.described(hits, _Parts(s.types, s.orders, s.source_files)))
 
 
 @_query("SELECT file_id, line, lpad(line::VARCHAR, 4, ' ') || '| ' || own AS text FROM (SELECT file_id, unnest(string_split(content, chr(10))) AS own, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line FROM bodies) WHERE line BETWEEN 1 AND 4", "bodies")
@@ -551,6 +602,141 @@ def consumers_by_type(spark, sf_dir):
     return made.select("id", F.transform("consumers", lambda r: F.upper(r["targetId"])).alias("consumers"))
 
 
+# what the tables above can't show: values made for the case, on the same tables
+
+
+@_query("SELECT p_partkey, path, regexp_matches(lower(replace(path, '\\', '/')), '/(bin|obj|migrations)/') AS skipped, regexp_matches(lower(replace(path, '\\', '/')), '(\\.g\\.cs|\\.designer\\.cs|assemblyinfo\\.cs)$|/\\.?generated/') AS generated FROM"
+        " (SELECT p_partkey, '/src/' || (['bin/', 'OBJ\\', 'Migrations/', 'Generated/', 'cabin/', 'lib/'])[(p_partkey % 6 + 1)::INT] || p_partkey || (['.cs', '.g.cs', '.Designer.cs', 'AssemblyInfo.cs', '.gcs'])[(p_partkey % 5 + 1)::INT] AS path FROM part)".replace("\\\\", "\\"))
+def policy_skip_paths(spark, sf_dir):
+    """Build folders with either slash, and every way to be generated."""
+    p, key = Star(spark, sf_dir).table("part"), F.col("p_partkey")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (key % n + 1).cast("int"))
+    path = F.concat(F.lit("/src/"), pick(6, "bin/", "OBJ\\", "Migrations/", "Generated/", "cabin/", "lib/"), key.cast("string"), pick(5, ".cs", ".g.cs", ".Designer.cs", "AssemblyInfo.cs", ".gcs"))
+    return p.select("p_partkey", path.alias("path")).withColumns({"skipped": policies.skipped_path(F.col("path")), "generated": policies.generated_path(F.col("path"))})
+
+
+@_query("""SELECT id, prefix AS kind, CASE n WHEN 0 THEN own WHEN 1 THEN own ELSE c_mktsegment || '.' || own END AS short, CASE WHEN length(named) > 80 THEN substr(named, 1, 79) || '…' ELSE named END AS relation,
+ CASE WHEN length(said) > 120 THEN substr(said, 1, 119) || '…' ELSE said END AS signature FROM (SELECT *, repeat(own || '_', 2 + n * 2) AS named, own || repeat('(int)', 10 + n * 8) AS said,
+ prefix || ':' || (['', 'Demo.', 'Demo.' || c_mktsegment || '.'])[n + 1] || own || CASE WHEN n = 1 THEN '' ELSE '(System.Int32,Demo.X)' END AS id
+ FROM (SELECT c_custkey, c_mktsegment, (c_custkey % 3)::INT AS n, 'C' || c_custkey || 'abcdefghij' AS own, CASE WHEN c_custkey % 6 = 5 THEN 'member' ELSE (['type', 'event', 'field', 'property', 'method'])[(c_custkey % 6 + 1)::INT] END AS prefix FROM customer))""")
+def short_names_dotted(spark, sf_dir):
+    """Ids of every prefix, with dots and parameters; names and signatures that are cut."""
+    c, key = Star(spark, sf_dir).table("customer"), F.col("c_custkey")
+    n = (key % 3).cast("int")
+    own = F.concat(F.lit("C"), key.cast("string"), F.lit("abcdefghij"))
+    prefix = F.when(key % 6 == 5, "member").otherwise(F.get(F.array(*map(F.lit, ("type", "event", "field", "property", "method"))), (key % 6).cast("int")))
+    space = F.when(n == 0, "").when(n == 1, "Demo.").otherwise(F.concat(F.lit("Demo."), "c_mktsegment", F.lit(".")))
+    id_ = F.concat(prefix, F.lit(":"), space, own, F.when(n == 1, "").otherwise("(System.Int32,Demo.X)"))
+    named, said = F.concat(F.repeat(F.concat(own, F.lit("_")), 2 + n * 2), F.lit("(int, Demo.X)")), F.concat(own, F.repeat(F.lit("(int)"), 10 + n * 8))
+    return c.select(id_.alias("id"), scalars.kind_of_id(id_).alias("kind"), scalars.short_id(id_).alias("short"), scalars.relation_name(named, id_).alias("relation"), scalars.short_signature(said).alias("signature"))
+
+
+@_query("WITH RECURSIVE r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION ALL SELECT p_partkey, depth + 1 FROM r JOIN part ON p_partkey // 2 = r.node AND p_partkey > 1) SELECT node, depth FROM r WHERE depth > 0 ORDER BY depth, lpad(node::VARCHAR, 12, '0') LIMIT 50")
+def overrides_deep(spark, sf_dir):
+    """A part overrides the part of half its number, so there are many levels."""
+    code = lambda k: F.lpad(k.cast("string"), 12, "0")
+    p, key = Star(spark, sf_dir).table("part").where("p_partkey > 1"), F.col("p_partkey")
+    facts = p.select(code(key).alias("method_id"), code(F.floor(key / 2)).alias("overridden_id"))
+    return graph.overrides(facts, f"{1:012d}").select(F.col("node").cast("bigint").alias("node"), "depth")
+
+
+@_query(f"SELECT DISTINCT id FROM (SELECT container_type_id AS id FROM refs WHERE target_id = '{ROOT_PART}' UNION ALL SELECT 'part:' || p_partkey FROM part WHERE p_partkey % 7 = 0 AND p_partkey > 7 AND p_partkey < 700) ORDER BY upper(id), id LIMIT 100", "refs")
+def interface_consumers(spark, sf_dir):
+    """Those that refer to a type, and those that implement it, directly or not."""
+    s = Star(spark, sf_dir)
+    p, key = s.table("part").where("p_partkey % 7 = 0 AND p_partkey > 7 AND p_partkey < 700"), F.col("p_partkey")
+    node = lambda k: F.concat(F.lit("part:"), k.cast("string"))
+    e = p.select(node(key).alias("from_id"), F.when(key % 2 == 0, node(key - 7)).otherwise(F.lit(ROOT_PART)).alias("to_id"), F.lit("implements").alias("kind"))
+    return graph.consumer_types(_refs(s), ROOT_PART, 100, graph.closure(e, ROOT_PART, ("implements", "inherits")))
+
+
+@_query("SELECT t.id, full_name, depth FROM (SELECT 'supplier:' || s_suppkey AS id, 'S' || (s_suppkey % 10) || '.' || s_name AS full_name, 2 AS depth FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 ORDER BY 1 LIMIT 50) t ORDER BY full_name, id")
+def implementations(spark, sf_dir):
+    """Suppliers as the types below a region; nations between them are no types."""
+    s = Star(spark, sf_dir)
+    types = s.table("supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("S"), (F.col("s_suppkey") % 10).cast("string"), F.lit("."), "s_name").alias("full_name"))
+    return graph.implementations(s.edges, types, ROOT_REGION)
+
+
+@_query("SELECT m.id, m.name, m.kind, relative_path FROM typed m LEFT JOIN files f ON m.file_id = f.id WHERE type_full_name = (SELECT full_name FROM types WHERE id = 'type:Customer#000000008') ORDER BY kind, name, m.id LIMIT 200", "typed files")
+def list_members_by_name(spark, sf_dir):
+    s = Star(spark, sf_dir)
+    name = s.types.where("id = 'type:Customer#000000008'").first()["full_name"]
+    return catalog.list_members(s.orders, s.types, s.source_files, full_name=name, limit=200).select("id", "name", "kind", "relative_path")
+
+
+@_query("SELECT q, id, match_rank FROM (SELECT 'Op12' AS q, 'property:Op12' AS id, 5 AS match_rank UNION ALL SELECT 'Op13', 'field:Op13', 6 UNION ALL SELECT 'Op14', 'event:Op14', 7 UNION ALL SELECT 'Op15', 'method:Op15', 0) JOIN members USING (id)", "members")
+def resolve_member_retry(spark, sf_dir):
+    """Names that only an id with another prefix has."""
+    s = Star(spark, sf_dir)
+    blank = s.orders.withColumns({"name": F.lit("none"), "signature": F.lit("none()")})
+    found = None
+    for q in ("Op12", "Op13", "Op14", "Op15"):
+        one = catalog.resolve_member(blank, s.types, s.source_files, q).select(F.lit(q).alias("q"), "id", "match_rank")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+_ROLES = "(['base','interface','attribute','return','parameter','type'])[(l_linenumber % 6 + 1)::INT]"
+_OWNERS = "(['class','method','constructor','field'])[(l_orderkey % 4 + 1)::INT]"
+
+
+@_query(f"""SELECT owner_id, kind, target_id, target_name FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, kind, target_id ORDER BY ord) AS k FROM (SELECT *,
+ CASE WHEN role = 'base' THEN CASE WHEN target_name <> 'System.Object' THEN 'inherits' END WHEN role = 'interface' THEN 'implements' WHEN role = 'attribute' THEN 'usesInSignature' WHEN role = 'return' AND owner = 'constructor' THEN NULL
+  WHEN role = 'type' AND owner = 'field' THEN 'usesInMember' ELSE 'usesInSignature' END AS kind FROM
+ (SELECT 'o:' || l_orderkey AS owner_id, {_OWNERS} AS owner, {_ROLES} AS role, CASE WHEN l_partkey % 19 = 0 THEN 'System.Object' WHEN l_partkey % 17 = 0 THEN 'int' ELSE 'P' || l_partkey END AS target_name,
+  't:P' || l_partkey AS target_id, 'asm' || (l_suppkey % 10) AS assembly, l_suppkey % 13 = 0 AS parameter, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS ord FROM lineitem))
+ WHERE kind IS NOT NULL AND target_name <> 'int' AND NOT parameter AND (assembly <> 'asm9' OR kind IN ('inherits', 'implements'))) WHERE k = 1""")
+def light_dependencies(spark, sf_dir):
+    """Dependencies of types and members by role, without primitives, type parameters, arrays' brackets, outsiders and repeats."""
+    i = Star(spark, sf_dir).table("lineitem")
+    pick = lambda key, *v: F.element_at(F.array(*map(F.lit, v)), (key % len(v) + 1).cast("int"))
+    part, name = F.col("l_partkey"), F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    array = F.when(part % 5 == 0, "[]").when(part % 7 == 0, "[,][]").otherwise("")
+    uses = i.select(
+        F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("owner_id"), pick(F.col("l_orderkey"), "class", "method", "constructor", "field").alias("owner_kind"), pick(F.col("l_linenumber"), "base", "interface", "attribute", "return", "parameter", "type").alias("role"),
+        F.concat(F.lit("t:"), name, array).alias("target_id"), F.when(part % 19 == 0, "System.Object").when(part % 17 == 0, "int").otherwise(F.concat(name, array)).alias("target_name"), F.concat(F.lit("ASM"), (F.col("l_suppkey") % 10).cast("string")).alias("target_assembly"),
+        (F.col("l_suppkey") % 13 == 0).alias("is_type_parameter"), (F.col("l_linenumber").cast("bigint") * 1000000000 + part * 1000 + F.col("l_suppkey") % 1000).alias("ord"),
+    )
+    own = spark.createDataFrame([(f"asm{k}",) for k in range(9)], "assembly string")
+    return extraction.kept_dependencies(extraction.declared_dependencies(uses), own).select("owner_id", "kind", "target_id", "target_name")
+
+
+_HALVES = "x AS (SELECT id, CASE WHEN nation.n_nationkey % 5 = 4 THEN 'add' WHEN nation.n_nationkey % 5 = 3 THEN 'drop' WHEN {0} = {1} THEN 'reuse' ELSE 'rebuild' END AS action FROM projects p JOIN nation ON 'project:' || n_name = p.id)"
+
+
+@_query("SELECT m.project_id, relative_path, content_hash FROM old_manifest m JOIN x ON m.project_id = x.id WHERE action = 'reuse' UNION ALL SELECT m.project_id, relative_path, content_hash FROM manifest m JOIN x ON m.project_id = x.id WHERE action IN ('add', 'rebuild')", "projects manifest old_manifest", _HALVES.format(_PRINT.format("old_manifest"), _PRINT.format("manifest")))
+def incremental_rebuild(spark, sf_dir):
+    """Files after projects were changed, added and dropped: those of unchanged projects from the old index."""
+    s = Star(spark, sf_dir)
+    old, new = _manifests(s)
+    before, after = s.projects.where("nationkey % 5 <> 4"), s.projects.where("nationkey % 5 <> 3")
+    plan = change.reuse_plan(change.fingerprints(before, old), change.fingerprints(after, new))
+    return change.merged(old, new, plan)
+
+
+@_query("SELECT a.id, list_transform(list_filter(list_zip(places, range(1, len(places) + 1)), lambda z: true), lambda z: (z[1][2] || '@' || z[1][3] || CASE WHEN z[2] = 1 THEN '!' ELSE '' END)) AS places FROM (SELECT id, list_sort(array_agg((ord, file_id, start_line))) AS places FROM (SELECT *, row_number() OVER (PARTITION BY id, file_id, start_line ORDER BY ord) AS k FROM raw_types) WHERE k = 1 GROUP BY id) a", "raw_types")
+def partial_locations(spark, sf_dir):
+    """Where the parts of each type are: each place once, in order, the first one being primary."""
+    p, key = Star(spark, sf_dir).table("part"), F.col("p_partkey")
+    raw = p.select(
+        F.concat(F.lit("type:"), "p_brand", F.lit("."), "p_type").alias("id"), F.concat(F.lit("project:"), "p_brand").alias("project_id"), key.alias("ord"), F.concat(F.lit("file:"), (key % 7).cast("string")).alias("file_id"), F.lit(None).cast("string").alias("relative_path"),
+        F.col("p_size").cast("int").alias("start_line"), (F.col("p_size") + 10).cast("int").alias("end_line"), (key % 500).cast("int").alias("size_chars"), F.lit(None).cast("string").alias("summary"), F.lit(False).alias("is_generated"),
+    )
+    shown = F.transform("locations", lambda x: F.concat(x["fileId"], F.lit("@"), x["startLine"].cast("string"), F.when(x["isPrimary"], "!").otherwise("")))
+    return extraction.merged_types(raw).select("id", shown.alias("places"))
+
+
+@_query("SELECT c_custkey, kind <> 0 AS noisy, (['public', 'protected internal', 'private protected', '', 'internal'])[(c_custkey % 5 + 1)::INT] AS accessibility FROM (SELECT c_custkey, c_custkey % 4 AS kind FROM customer)")
+def policy_texts(spark, sf_dir):
+    """Diagnostics that say nothing, and accessibilities as they are written."""
+    c, key = Star(spark, sf_dir).table("customer"), F.col("c_custkey")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (key % n + 1).cast("int"))
+    message = pick(4, "error CS0103", "warning msb3277: x", "Found conflicts between different versions of Y", "an Indirect Dependency on z: System.Runtime")
+    name = pick(5, "Public", "ProtectedOrInternal", "ProtectedAndInternal", "NotApplicable", "Internal")
+    return c.select("c_custkey", policies.noisy_diagnostic(message).alias("noisy"), scalars.accessibility_text(name).alias("accessibility"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _REGISTERED.items()}
 

@@ -22,6 +22,8 @@ class Options:
     full_relations: bool = False
     changed_only: bool = False
     max_calls: int = 30
+    #: Characters of a body that are kept, and half the bytes beyond which a file has none; 0 keeps all.
+    max_body_chars: int = 0
     relations: tuple[str, ...] = ()
     exclude_projects: tuple[str, ...] = ()
 
@@ -34,7 +36,7 @@ class Options:
 
     def shaping(self) -> dict:
         """What decides about the rows of an index."""
-        return {k: v for k, v in asdict(self).items() if k not in ("changed_only", "full_relations", "relations", "index_body")}
+        return {k: v for k, v in asdict(self).items() if k not in ("changed_only", "full_relations", "relations", "index_body", "max_body_chars")}
 
 
 @dataclass(frozen=True)

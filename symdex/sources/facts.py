@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import policies, scalars
 from ..operators import change, extraction, relations
+from ..plans.lineage import cut
 from ..schema import REL, conform
 from .config import Options
-from .store import BODY_CHARS
 
 _SPAN = "file_id string, start_line int, end_line int, start_offset int, end_offset int, size_chars int"
 FACTS = {
@@ -58,13 +58,25 @@ def read(spark: SparkSession, path: str) -> Facts:
     return Facts(spark, found)
 
 
-def build(facts: Facts, entry: str, options: Options = Options()) -> dict[str, DataFrame]:
-    """Index tables from facts, by the options' policies."""
+def indexed_projects(facts: Facts, options: Options) -> DataFrame:
+    return extraction.classified_projects(facts["projects"], list(options.exclude_projects), options.include_tests).where("fate = 'indexed'")
+
+
+def assemblies_hash(facts: Facts, options: Options) -> DataFrame:
+    """One row: a hash of all assemblies that count as own, on which every project's relations depend."""
+    names = indexed_projects(facts, options).select(F.lower("assembly").alias("a")).where("a IS NOT NULL").distinct()
+    return names.agg(F.sha2(F.encode(F.array_join(F.sort_array(F.collect_list("a")), "\n"), "UTF-8"), 256).alias("hash"))
+
+
+def build(facts: Facts, entry: str, options: Options = Options(), only: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Index tables from facts, by the options' policies; of the projects in ``only`` (id), where it is given, with no bodies, consumers and edges."""
     spark = facts.spark
     solution = f"solution:{entry}"
-    classed = extraction.classified_projects(facts["projects"], list(options.exclude_projects), options.include_tests).where("fate = 'indexed'")
+    classed = indexed_projects(facts, options)
     projects = classed.select("id", F.lit(solution).alias("solution_id"), "name", scalars.normal_path(F.col("path")).alias("path"), scalars.framework(F.col("project_xml")).alias("target_framework"), policies.test_project(F.col("name"), F.col("path")).alias("is_test"), "file_hash")
     own = classed.select(F.col("id").alias("_p"))
+    if only is not None:
+        own = own.join(only.select("id"), F.col("_p") == F.col("id"), "left_semi")
     documents = facts["documents"].join(own, F.col("project_id") == F.col("_p"), "left_semi")
     files = extraction.source_files(documents, options.include_generated)
     kept = files.select(F.col("id").alias("_file"))
@@ -73,6 +85,7 @@ def build(facts: Facts, entry: str, options: Options = Options()) -> dict[str, D
     if not options.include_generated:
         declared = declared.where(~F.coalesce("is_generated", F.lit(False)))
     types = extraction.merged_types(declared).withColumn("namespace_id", scalars.namespace_id(F.col("project_id"), F.coalesce("namespace", F.lit(""))))
+    types = cut(types)  # whatever is made from them below starts there
     namespaces = types.select("namespace_id", "project_id", F.coalesce("namespace", F.lit("")).alias("name")).distinct().withColumnRenamed("namespace_id", "id")
     members = extraction.visible_members(facts["members"], options.include_private, options.include_generated)
     members = members.join(types.select(F.col("id").alias("_t")), F.col("type_id") == F.col("_t"), "left_semi").withColumn("summary", policies.xml_summary(F.col("xml_doc"))).withColumn("is_generated", F.lit(False))
@@ -91,13 +104,7 @@ def build(facts: Facts, entry: str, options: Options = Options()) -> dict[str, D
         joined = df.join(listed, df["id"] == F.col("_o"), "left").drop("_o")
         return joined.withColumn("dependencies", F.coalesce("dependencies", empty))
 
-    types, members = related(types), related(members).withColumn("consumers", empty)
-    consumed = None
-    for scope in options.scopes():
-        some = extraction.consumers(facts["refs"], extraction.scope_targets(types, projects, scope))
-        consumed = some if consumed is None else consumed.unionByName(some).dropDuplicates(["id"])
-    types = types.withColumn("consumers", empty) if consumed is None else types.join(consumed, "id", "left").withColumn("consumers", F.coalesce("consumers", empty))
-
+    types, members = related(types).withColumn("consumers", empty), cut(related(members).withColumn("consumers", empty))
     members = members.withColumn("token_estimate", scalars.tokens_of(F.col("signature"), F.col("summary"), F.col("return_type")))
     from ..operators.catalog import token_rollup
 
@@ -106,37 +113,56 @@ def build(facts: Facts, entry: str, options: Options = Options()) -> dict[str, D
         "solutions": spark.createDataFrame([(solution, os.path.splitext(os.path.basename(entry))[0], entry, None)], "id string, name string, path string, file_hash string"),
         "projects": projects, "source_files": files, "namespaces": namespaces, "types": conform(types, "types"), "members": conform(members, "members"),
     }
+    return made if only is not None else _finished(facts, options, made)
+
+
+def _finished(facts: Facts, options: Options, made: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables with what is made from the whole index: consumers of the types in scope, edges and bodies."""
+    types, consumed = made["types"], None
+    for scope in options.scopes():
+        some = extraction.consumers(facts["refs"], extraction.scope_targets(types, made["projects"], scope))
+        consumed = some if consumed is None else consumed.unionByName(some).dropDuplicates(["id"])
+    types = types.withColumn("consumers", F.array().cast(f"array<{REL}>"))
+    if consumed is not None:
+        found = consumed.select(F.col("id").alias("_c"), F.col("consumers").alias("_found"))
+        types = types.join(found, F.col("id") == F.col("_c"), "left").withColumn("consumers", F.coalesce("_found", "consumers")).drop("_c", "_found")
+    made["types"], made["members"] = cut(conform(types, "types")), cut(conform(made["members"], "members"))
     made["edges"] = relations.to_edges(made["types"].select("id", "dependencies", "consumers").unionByName(made["members"].select("id", "dependencies", "consumers")))
     if options.index_body:
-        bodies = documents.join(kept, documents["id"] == F.col("_file"), "left_semi").where(f"length(text) > 0 AND length(encode(text, 'UTF-8')) <= {2 * BODY_CHARS}")
-        made["bodies"] = bodies.select(F.col("id").alias("file_id"), "relative_path", "absolute_path", F.substring("text", 1, BODY_CHARS).alias("content"))
+        kept = made["source_files"].select(F.col("id").alias("_file"))
+        documents = facts["documents"].where("length(text) > 0")
+        content = F.col("text")
+        if options.max_body_chars:
+            documents, content = documents.where(f"length(encode(text, 'UTF-8')) <= {2 * options.max_body_chars}"), F.substring("text", 1, options.max_body_chars)
+        bodies = documents.join(kept, documents["id"] == F.col("_file"), "left_semi")
+        made["bodies"] = bodies.select(F.col("id").alias("file_id"), "relative_path", "absolute_path", content.alias("content"))
     return made
 
 
 def rebuild(facts: Facts, entry: str, options: Options, old: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """An index that takes the rows of unchanged projects from ``old``, and the plan (id, action).
 
-    Members and bodies follow their project by their type and file.  Consumers
-    of reused types stay as they were.
+    Fingerprints come from the files' hashes alone; only projects that changed
+    are extracted.  Members follow their project by their type.  Bodies and
+    consumers are those of a full build: they depend on options that don't
+    shape a project's rows, and consumers on all projects.
     """
-    new = build(facts, entry, options)
+    classed = indexed_projects(facts, options)
+    own = classed.select(F.col("id").alias("_p"))
+    files = extraction.source_files(facts["documents"].join(own, F.col("project_id") == F.col("_p"), "left_semi"), options.include_generated)
     flags = repr(sorted(options.shaping().items()))
-    plan = change.reuse_plan(change.fingerprints(old["projects"], old["source_files"], flags), change.fingerprints(new["projects"], new["source_files"], flags))
+    plan = cut(change.reuse_plan(change.fingerprints(old["projects"], old["source_files"], flags), change.fingerprints(classed, files, flags)))
+    new = build(facts, entry, options, plan.where("action IN ('add', 'rebuild')"))
     made = dict(new)
     for t in ("source_files", "namespaces", "types"):
         made[t] = change.merged(conform(old[t], t), conform(new[t], t), plan)
     made["projects"] = change.merged(conform(old["projects"], "projects"), conform(new["projects"], "projects"), plan, "id")
 
-    def by_owner(name: str, key: str, owner: str) -> DataFrame:
-        def of(tables: dict[str, DataFrame]) -> DataFrame:
-            o = tables[owner].select(F.col("id").alias("_o"), "project_id")
-            df = conform(tables[name], name)
-            return df.join(o, df[key] == F.col("_o")).drop("_o")
-
-        return conform(change.merged(of(old), of(new), plan), name)
+    def with_project(tables: dict[str, DataFrame]) -> DataFrame:
+        owner = tables["types"].select(F.col("id").alias("_o"), "project_id")
+        df = conform(tables["members"], "members")
+        return df.join(owner, df["type_id"] == F.col("_o")).drop("_o")
 
-    made["members"] = by_owner("members", "type_id", "types")
-    if "bodies" in new:
-        made["bodies"] = by_owner("bodies", "file_id", "source_files")
-    made["edges"] = relations.to_edges(made["types"].select("id", "dependencies", "consumers").unionByName(made["members"].select("id", "dependencies", "consumers")))
-    return made, plan
+    members = conform(change.merged(with_project(old), with_project(new), plan), "members")
+    made["members"] = members.withColumn("consumers", F.array().cast(f"array<{REL}>"))
+    return _finished(facts, options, made), plan

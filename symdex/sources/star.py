@@ -64,7 +64,7 @@ class Star:
     def bodies(self) -> DataFrame:
         d, key = self.table("documents"), F.col("doc_id")
         relative = F.concat(F.lit("src/"), "source", F.lit("/"), key.cast("string"), F.when(key % 9 == 0, ".g.cs").otherwise(".cs"))
-        return d.select(F.concat(F.lit("file:"), key.cast("string")).alias("file_id"), relative.alias("relative_path"), F.concat(F.lit("/star/"), relative).alias("absolute_path"), F.substring("text", 1, 512_000).alias("content")).where("length(content) > 0")
+        return d.select(F.concat(F.lit("file:"), key.cast("string")).alias("file_id"), relative.alias("relative_path"), F.concat(F.lit("/star/"), relative).alias("absolute_path"), F.col("text").alias("content")).where("length(content) > 0")
 
     @cached_property
     def namespaces(self) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from ..operators.extraction import source_files
+from ..operators.search import FIELDS, postings
+from ..plans.lineage import cut
 from ..schema import conform
 from ..sources.store import Store
 
@@ -35,15 +37,19 @@ def apply_batch(store: Store, batch: DataFrame, number: int, include_generated:
     """Files and bodies after a batch; False if the index has this batch already."""
     if store.version() and int(store.meta().get(KEY, "-1")) >= number:
         return False
-    index, changed = store.read(), latest(batch)
+    index, changed = store.read(), cut(latest(batch))
     gone = changed.select(F.col("id").alias("_gone"))
     there = changed.where(~F.coalesce("removed", F.lit(False)))
     new = source_files(there, include_generated)
     files = index.source_files.join(gone, F.col("id") == F.col("_gone"), "left_anti").unionByName(conform(new, "source_files"))
-    bodies = there.join(new.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi").where("length(text) > 0")
-    bodies = bodies.select(F.col("id").alias("file_id"), "relative_path", "absolute_path", F.col("text").alias("content"))
-    bodies = index.bodies.join(gone, F.col("file_id") == F.col("_gone"), "left_anti").unionByName(conform(bodies, "bodies"))
-    store.update({KEY: str(number)}, source_files=files, bodies=bodies)
+    fresh = there.join(new.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi").where("length(text) > 0")
+    fresh = conform(fresh.select(F.col("id").alias("file_id"), "relative_path", "absolute_path", F.col("text").alias("content")), "bodies")
+    bodies = index.bodies.join(gone, F.col("file_id") == F.col("_gone"), "left_anti").unionByName(fresh)
+    known = {}
+    if "body" in index.search:  # only the batch's files are searched for tokens
+        left = index.search["body"].rows.join(gone, F.col("doc") == F.col("_gone"), "left_anti")
+        known["body"] = left.unionByName(postings(fresh, "file_id", FIELDS["body"]))
+    store.update({KEY: str(number)}, postings=known, source_files=files, bodies=bodies)
     return True
 
 

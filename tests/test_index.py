@@ -95,12 +95,40 @@ def test_search(built):
     index = built[0].store.read()
     assert [r["id"] for r in search.search(index, "aggregate").collect()] == ["type:Demo.Order"]
     assert [r["category"] for r in search.search(index, "rder", "type").collect()] == ["type", "type"]  # by LIKE
-    assert [r["id"] for r in search.search(index, "totals", "member", stemmed=True).collect()] == ["method:Demo.Order.Total"]
+    assert [r["id"] for r in search.search(index, "totals", "member").collect()] == ["method:Demo.Order.Total"]
+    assert set(index.search) == {"type", "member", "body"}
+    shown = search.described(search.search(index, "aggregates"), index).collect()
+    assert [(r["kind"], r["summary"], r["relative_path"], r["start_line"]) for r in shown] == [("class", "An order aggregate.", "Order.cs", 3)]
+    shown = search.described(search.search(index, "adding", "member"), index).collect()
+    assert [(r["parent_type"], r["signature"]) for r in shown] == [("Demo.Order", "int Total()")]
     body = search.search(index, "TODO", body=True).collect()
     assert [(r["name"], r["line"], r["text"]) for r in body] == [("Order.cs", 5, "// TODO: rounding")]
     assert search.search(index, "demo.ord", "type").count() == 1  # a phrase with a prefix
 
 
+def test_accents_and_stems_are_folded(spark):
+    bodies = spark.createDataFrame([("a", "le café crème"), ("b", "CAFE\u0301 ouvert"), ("c", "cafeteria"), ("d", "nothing")], "file_id string, content string").withColumn("relative_path", F.col("file_id"))
+    find = lambda q: sorted(r["id"] for r in search.search_bodies(bodies, q, 10).collect())
+    assert find("cafe") == find("CAFÉ") == ["a", "b", "c"] and find("creme") == ["a"] and find("nothings") == ["d"]
+    assert search.folded("Ångström ŒÎ") == "angstrom œi"
+
+
+def test_an_update_writes_what_changed(spark, tmp_path):
+    s = service.Service(spark, str(tmp_path / "u"))
+    s.index(make_facts(spark), "/s/Demo.sln", config.Options(index_body=True))
+    first = s.store.folders(s.store.version())
+    s.save_consumers(make_facts(spark)["refs"], "type:Order")
+    second = s.store.folders(s.store.version())
+    assert {t for t in first if first[t] != second[t]} == {"types", "edges", "edges_in", "meta", "postings_type", "stats_type", "postings_member", "stats_member"}
+    for scope in ("full", "type:Order"):
+        s.save_consumers(make_facts(spark)["refs"], scope)
+    kept = s.store.folders(s.store.version())
+    assert kept["bodies"] == first["bodies"] and s.store.read().bodies.count() == 3 and search.search(s.store.read(), "TODO", body=True).count() == 1
+    import os
+
+    assert not os.path.exists(f"{s.store.path}/{first['types']}") and not os.path.exists(f"{s.store.path}/{second['types']}")
+
+
 def test_answers(built, spark):
     s, _ = built
     assert "An order aggregate." in s.get("Order").text and "Parts:" in s.get("Order").text
@@ -145,6 +173,65 @@ def test_incremental(spark, tmp_path):
     assert "other options" in s.index(changed, "/s/Demo.sln", config.Options(changed_only=True, max_calls=5)).text
 
 
+def comparable(store):
+    """Every table as sets of rows; edges without their numbers, meta without times."""
+    index = store.read()
+    drop = {"edges": ["edge_seq"]}
+    out = {}
+    for name, df in index.tables().items():
+        rows = df.drop(*drop.get(name, [])).collect()
+        out[name] = sorted(repr(r) for r in rows if name != "meta" or r["key"] not in ("indexed_at_utc",))
+    out["edges_in"] = sorted(repr(r) for r in index.edges_in.drop("edge_seq").collect())
+    return out
+
+
+@pytest.mark.parametrize("first, then", [
+    (dict(), dict(index_body=True, full_relations=True)), (dict(full_relations=True, index_body=True), dict(relations=("type:App",))),
+])
+def test_an_incremental_index_is_a_full_one(spark, tmp_path, first, then):
+    entry, changed = "/s/Demo.sln", make_facts(spark, ORDER + "// more")
+    one, two = (service.Service(spark, str(tmp_path / x)) for x in "ab")
+    one.index(make_facts(spark), entry, config.Options(**first))
+    assert "1 projects reused, 1 indexed again" in one.index(changed, entry, config.Options(changed_only=True, **then)).text
+    two.index(changed, entry, config.Options(**then))
+    assert comparable(one.store) == comparable(two.store)
+    assert (one.store.read().bodies.count() > 0) == bool(then.get("index_body"))
+
+
+def test_a_new_assembly_is_no_reuse(spark, tmp_path):
+    """What counts as external, and so the relations of every project, depends on all assemblies."""
+    entry, s = "/s/Demo.sln", service.Service(spark, str(tmp_path / "n"))
+    s.index(make_facts(spark), entry, config.Options(changed_only=True))
+    more = make_facts(spark)
+    row = spark.createDataFrame([("project:Sys", "Sys", "/s/Sys.csproj", "System", None, "h", 1)], facts.FACTS["projects"])
+    more.tables["projects"] = more["projects"].unionByName(row)
+    assert "other assemblies" in s.index(more, entry, config.Options(changed_only=True)).text
+    full = service.Service(spark, str(tmp_path / "m"))
+    full.index(more, entry, config.Options())
+    assert comparable(s.store) == comparable(full.store)
+
+
+def test_bodies_are_whole_unless_asked_otherwise(spark, tmp_path):
+    long = ORDER + "x" * 2000
+    for limit, want in ((0, len(long)), (1500, 1500), (500, None)):
+        made = facts.build(make_facts(spark, long), "/s/Demo.sln", config.Options(index_body=True, max_body_chars=limit))
+        got = {r["file_id"]: len(r["content"]) for r in made["bodies"].collect()}
+        assert got.get("file:1") == want and got["file:4"] == len("class App {}")
+
+
+def test_a_hop_skips_most_edges(spark, tmp_path):
+    rows = spark.range(400_000).selectExpr("id + 1 AS edge_seq", "concat('n', lpad(id % 9973, 5, '0')) AS from_id", "concat('m', lpad(id % 7919, 5, '0')) AS to_id", "'calls' AS kind", "CAST(NULL AS string) AS file", "CAST(NULL AS int) AS line")
+    s = Store(spark, str(tmp_path / "e"))
+    s.write({"edges": rows.repartition(8)})
+    index = s.read()
+    for df, key, node in ((index.edges, "from_id", "n00500"), (index.edges_in, "to_id", "m07000")):
+        some = df.where(F.col(key) == node)
+        n = len(some.collect())
+        plan = some._jdf.queryExecution().executedPlan()
+        scan = next(x for x in (plan.collectLeaves().apply(i) for i in range(plan.collectLeaves().size())))
+        assert n in (41, 40, 50, 51) and scan.metrics().apply("numOutputRows").value() < 200_000
+
+
 def test_consumers_are_kept(spark, tmp_path):
     s = service.Service(spark, str(tmp_path / "c"))
     f = make_facts(spark)
@@ -219,9 +306,11 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows, ingest.CHANGES).write.parquet(src)
     ingest.start(store, ingest.read_changes(spark, src), str(tmp_path / "c")).awaitTermination()
     assert {(r["file_id"], r["content"]) for r in store.read().bodies.collect()} == {("f1", "two"), ("f2", "x")}
+    assert [r["id"] for r in search.search(store.read(), "two", body=True).collect()] == ["f1"]
     spark.createDataFrame([("f2", "p", "b.cs", "/b.cs", None, True, 5)], ingest.CHANGES).write.mode("append").parquet(src)
     ingest.start(store, ingest.read_changes(spark, src), str(tmp_path / "c")).awaitTermination()
     assert {r["id"] for r in store.read().source_files.collect()} == {"f1"}
+    assert search.search(store.read(), "x", body=True).count() == 0 and search.search(store.read(), "two", body=True).count() == 1
     assert not ingest.apply_batch(store, spark.createDataFrame(rows, ingest.CHANGES), 1)
 
 
