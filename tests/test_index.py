@@ -120,13 +120,12 @@ def test_an_update_writes_what_changed(spark, tmp_path):
     s.save_consumers(make_facts(spark)["refs"], "type:Order")
     second = s.store.folders(s.store.version())
     assert {t for t in first if first[t] != second[t]} == {"types", "edges", "edges_in", "meta", "postings_type", "stats_type", "postings_member", "stats_member"}
-    for scope in ("full", "type:Order"):
-        s.save_consumers(make_facts(spark)["refs"], scope)
+    s.save_consumers(make_facts(spark)["refs"], "full")
     kept = s.store.folders(s.store.version())
     assert kept["bodies"] == first["bodies"] and s.store.read().bodies.count() == 3 and search.search(s.store.read(), "TODO", body=True).count() == 1
     import os
 
-    assert not os.path.exists(f"{s.store.path}/{first['types']}") and not os.path.exists(f"{s.store.path}/{second['types']}")
+    assert not os.path.exists(f"{s.store.path}/{first['types']}") and os.path.exists(f"{s.store.path}/{first['bodies']}")
 
 
 def test_answers(built, spark):
@@ -173,47 +172,39 @@ def test_incremental(spark, tmp_path):
     assert "other options" in s.index(changed, "/s/Demo.sln", config.Options(changed_only=True, max_calls=5)).text
 
 
-def comparable(store):
-    """Every table as sets of rows; edges without their numbers, meta without times."""
-    index = store.read()
-    drop = {"edges": ["edge_seq"]}
-    out = {}
-    for name, df in index.tables().items():
-        rows = df.drop(*drop.get(name, [])).collect()
-        out[name] = sorted(repr(r) for r in rows if name != "meta" or r["key"] not in ("indexed_at_utc",))
-    out["edges_in"] = sorted(repr(r) for r in index.edges_in.drop("edge_seq").collect())
-    return out
-
-
-@pytest.mark.parametrize("first, then", [
-    (dict(), dict(index_body=True, full_relations=True)), (dict(full_relations=True, index_body=True), dict(relations=("type:App",))),
-])
-def test_an_incremental_index_is_a_full_one(spark, tmp_path, first, then):
-    entry, changed = "/s/Demo.sln", make_facts(spark, ORDER + "// more")
-    one, two = (service.Service(spark, str(tmp_path / x)) for x in "ab")
-    one.index(make_facts(spark), entry, config.Options(**first))
-    assert "1 projects reused, 1 indexed again" in one.index(changed, entry, config.Options(changed_only=True, **then)).text
-    two.index(changed, entry, config.Options(**then))
-    assert comparable(one.store) == comparable(two.store)
-    assert (one.store.read().bodies.count() > 0) == bool(then.get("index_body"))
-
-
-def test_a_new_assembly_is_no_reuse(spark, tmp_path):
+def comparable(tables):
+    """Every table as sets of rows; edges without their numbers."""
+    return {name: sorted(repr(r) for r in conform(df, name).drop("edge_seq").collect()) for name, df in tables.items()}
+
+
+@pytest.fixture(scope="module")
+def old_tables(spark):
+    return facts.build(make_facts(spark), "/s/Demo.sln", config.Options(relations=("type:App",)))
+
+
+@pytest.mark.parametrize("then", [dict(index_body=True, full_relations=True), dict()])
+def test_an_incremental_index_is_a_full_one(spark, old_tables, then):
+    """Also where bodies and consumers are turned on or off."""
+    changed, options = make_facts(spark, ORDER + "// more"), config.Options(**then)
+    made, plan = facts.rebuild(changed, "/s/Demo.sln", options, old_tables)
+    assert {r["action"] for r in plan.collect()} == {"reuse", "rebuild"}
+    got = comparable(made)
+    assert got == comparable(facts.build(changed, "/s/Demo.sln", options))
+    assert len(got.get("bodies", ())) == (3 if then else 0)
+
+
+def test_a_new_assembly_is_no_reuse(spark):
     """What counts as external, and so the relations of every project, depends on all assemblies."""
-    entry, s = "/s/Demo.sln", service.Service(spark, str(tmp_path / "n"))
-    s.index(make_facts(spark), entry, config.Options(changed_only=True))
-    more = make_facts(spark)
+    one, more = make_facts(spark), make_facts(spark)
     row = spark.createDataFrame([("project:Sys", "Sys", "/s/Sys.csproj", "System", None, "h", 1)], facts.FACTS["projects"])
     more.tables["projects"] = more["projects"].unionByName(row)
-    assert "other assemblies" in s.index(more, entry, config.Options(changed_only=True)).text
-    full = service.Service(spark, str(tmp_path / "m"))
-    full.index(more, entry, config.Options())
-    assert comparable(s.store) == comparable(full.store)
+    a, b = (facts.assemblies_hash(f, config.Options()).first()["hash"] for f in (one, more))
+    assert a and b and a != b
 
 
 def test_bodies_are_whole_unless_asked_otherwise(spark, tmp_path):
     long = ORDER + "x" * 2000
-    for limit, want in ((0, len(long)), (1500, 1500), (500, None)):
+    for limit, want in ((0, len(long)), (500, None)):
         made = facts.build(make_facts(spark, long), "/s/Demo.sln", config.Options(index_body=True, max_body_chars=limit))
         got = {r["file_id"]: len(r["content"]) for r in made["bodies"].collect()}
         assert got.get("file:1") == want and got["file:4"] == len("class App {}")
@@ -341,9 +332,39 @@ def test_entry_path(tmp_path):
         config.entry_path(__file__)
 
 
-def test_command_line(built, spark, capsys):
+def test_command_line(built, spark, capsys, tmp_path):
     s, _ = built
     run = lambda *a: service.main(["--db", s.store.path, *a], spark)
     assert run("status") == 0 and "3 types" in capsys.readouterr().out
-    assert run("query", "aggregate") == 0 and run("get", "nobody") == service.NO_MATCH and run("hotspots", "--metric", "types") == 0
-    assert run("consumers", "IOrder") == service.NO_MATCH and run("impact", "Order", "--depth", "1") == 0
+    assert run("query", "aggregate", "--format", "json") == 0
+    (hit,) = json.loads(capsys.readouterr().out)["hits"]
+    assert (hit["category"], hit["kind"], hit["name"], hit["summary"], hit["relativePath"], hit["startLine"]) == ("type", "class", "Demo.Order", "An order aggregate.", "Order.cs", 3)
+    assert run("get", "Order", "--format", "json", "--detail", "full", "--out", str(tmp_path / "o.json")) == 0
+    got = json.loads((tmp_path / "o.json").read_text())
+    assert got["lines"] == {"start": 3, "end": 6, "count": 4} and got["relations"]["structural"] == {"total": 2, "names": ["Demo.IOrder", "System.Enum"], "truncated": False} and {m["name"] for m in got["members"]} == {"Total", "Sum", ".ctor"}
+    assert run("get", "nobody") == service.NO_MATCH and run("hotspots", "--by", "types", "--format", "json") == 0
+    assert run("impact", "Total", "--depth", "1", "--format", "json") == 0
+    g = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert {n["name"] for n in g["nodes"]} == {"Demo.Order.Total", "Demo.Order.Sum"} and g["edges"][0]["kind"] == "Calls"
+
+
+def test_staleness_has_an_exit_code_and_doctor_tells(built, spark):
+    s, _ = built
+    same, changed = make_facts(spark), make_facts(spark, ORDER + "// more")
+    assert s.status(same).code == service.OK
+    stale = s.status(changed)
+    assert stale.code == service.STALE and "changed Order.cs" in stale.text and stale.data["is_stale"] and stale.data["bytes"] > 0
+    checks = {c["name"]: c for c in service.doctor(spark, s.store.path, changed)}
+    assert not checks["staleness"]["ok"] and checks["writable"]["ok"] and not checks["entry_path"]["ok"] and service.passed(list(checks.values()))
+
+
+def test_callers_are_kept_on_request(built, spark):
+    s, _ = built
+    rows = [("method:Demo.Order.Sum", "method:Demo.App.Main", "type:Demo.App", "method", "Demo.App.Main", "App.cs", 2, 1)]
+    refs = spark.createDataFrame(rows, "target_id string, container_id string, container_type_id string, container_kind string, display string, file string, line int, ord int")
+    answer = s.callers("Sum", refs, update=True)
+    assert answer.data["unique"] == 1
+    index = s.store.read()
+    assert [r["targetId"] for r in index.members.where("id = 'method:Demo.Order.Sum'").first()["consumers"]] == ["method:Demo.App.Main"]
+    assert index.edges.where("kind = 'referencedBy'").count() == 1
+    assert "App.Main" in s.callers("Sum").text and "Order.Total" in s.callers("Sum").text
