@@ -17,7 +17,8 @@ text can be decoded by itself.
 
 Cases: a null text has null ids and offsets; an empty text has empty ones;
 every string round-trips, special tokens' names being ordinary text; rows are
-encoded one by one at any length; extra columns are not carried.  Ids that
+encoded one by one at any length, rows that repeat alike; an empty table gives
+an empty result; extra columns are not carried.  Ids that
 the vocabulary doesn't have are an error in decoding; bytes that aren't UTF-8
 (a slice cut inside a character) decode to U+FFFD.
 """

@@ -23,7 +23,7 @@ white space) are structure, and always stay.  A row that loses lines and has
 nothing but blank lines left is dropped: all it said is said elsewhere.
 
 Cases: null and empty texts pass unchanged; repeated rows keep the lines of
-one of them; a text is split at newlines only, at any length; an empty table
+one of them (of rows with equal doc_id, line number and text, any one); a text is split at newlines only, at any length; an empty table
 gives an empty table; other columns pass through, and ``n_chars``, where there
 is one, is set to the new length.
 """

@@ -18,7 +18,8 @@ of a text is that of its stretches cut there, and the count of a stretch
 is kept for when it comes again.  Other vocabularies are run on whole texts.
 
 Cases: a null text has a null count; an empty text has none (0); rows are
-counted one by one, at any length; extra columns are not carried.
+counted one by one, at any length; rows that repeat give equal counts; an empty
+table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
