@@ -109,7 +109,7 @@ class Rows:
 
     def with_known(self, known: DataFrame, how: str) -> DataFrame:
         """Rows with what is ``known`` of them, a frame with one row for each uid at most."""
-        there = known.withColumn(self.home, self.home_of(F.col(self.uid)))
+        there = known if self.home in known.columns else known.withColumn(self.home, self.home_of(F.col(self.uid)))
         return self.df.join(there.hint("shuffle_hash"), [self.home, self.uid], how)
 
 
@@ -226,8 +226,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     sent = rows.df.select(uid, text_col).mapInArrow(_sent(shards), "shard bigint, packed binary")
     found = sent.groupBy("shard").applyInArrow(_suspected(shards), "uid bigint, h bigint")
-    hashes = found.repartition(rows.buckets, rows.home_of(F.col("uid"))).groupBy("uid").agg(F.collect_list("h").alias("hs"))
-    hashes = scratch.table(hashes, "suspects").withColumnRenamed("uid", uid)
+    placed = found.withColumn(home, rows.home_of(F.col("uid"))).repartition(rows.buckets, home)  # as the rows are, so once
+    hashes = placed.groupBy(home, "uid").agg(F.collect_list("h").alias("hs")).withColumnRenamed("uid", uid)
     kind = docs.schema[id_col].dataType.simpleString()
     some = rows.with_known(hashes, "inner").select(F.col(id_col).alias("id"), uid, F.xxhash64(text_col).alias("own"), text_col, "hs")
     one = scratch.table(some.mapInArrow(_picked, f"id {kind}, uid bigint, own bigint, no int, line string"), "lines")
