@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _roots: set[str] = set()
+#: Names in the catalog of the tables in buckets, by path.
+_named: dict[str, str] = {}
 #: Lists that are told of every table written while they are here.
 _listening: list[list[str]] = []
 
@@ -53,10 +55,10 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """The same in buckets by a column; a view of the session's catalog knows of them until the table is read."""
+    """The same in buckets by a column; the catalog has it, under a name of its own, until it is released."""
     spark = df.sparkSession
     path = _path(spark, "buckets")
-    name = f"symdex_{uuid.uuid4().hex}"
+    name = _named[path] = f"symdex_{uuid.uuid4().hex}"
     df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(name)
     return spark.table(name)
 
@@ -71,6 +73,13 @@ def noted(held: list[str]) -> Iterator[list[str]]:
         _listening.remove(held)
 
 
+def _forget(path: str) -> None:
+    """Takes a table in buckets out of the catalog."""
+    name, spark = _named.pop(path, None), SparkSession.getActiveSession()
+    if name and spark:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _delete(path: str) -> None:
     jvm, context = SparkContext._jvm, SparkContext._active_spark_context
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -81,11 +90,16 @@ def _delete(path: str) -> None:
 def release(paths: list[str]) -> None:
     """Deletes tables that ``noted`` listed; frames built on them end with them."""
     while paths:
-        _delete(paths.pop())
+        path = paths.pop()
+        _forget(path)
+        _delete(path)
 
 
 @atexit.register
 def _end() -> None:
+    for path in list(_named):
+        with contextlib.suppress(Exception):
+            _forget(path)
     for path in sorted(_roots):
         with contextlib.suppress(Exception):  # the application is over, with or without its JVM
             _delete(path)

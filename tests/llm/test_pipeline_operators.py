@@ -148,6 +148,19 @@ def test_chunks_cut_rows_whole():
         assert seen == ["ab", "", "", "x" * 50, "é"]
 
 
+def test_what_was_written_is_released(spark):
+    from symdex.llm import scratch
+
+    held, other = [], scratch.table(spark.range(3), "other")
+    with scratch.noted(held):
+        df = line_dedup.dedup(docs(spark, random_docs(5)))
+    assert len(held) >= 3 and df.count() and any(t.name in scratch._named.values() for t in spark.catalog.listTables())
+    before = set(scratch._named)
+    paths = list(held)
+    scratch.release(held)
+    assert not held and not set(paths) & set(scratch._named) and before - set(scratch._named) <= set(paths) and other.count() == 3
+
+
 # near duplicates
 
 
