@@ -6,6 +6,8 @@ Exit codes: 0 answered, 1 error, 2 empty index, 3 nothing matches, 4 stale.
 from __future__ import annotations
 
 import argparse
+import os
+import re
 import sys
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ from ..functions import render, scalars
 from ..operators import analytics, catalog, change, extraction, graph, relations, search, snippets
 from ..schema import REL, conform
 from ..sources import config, facts
-from ..sources.store import Store
+from ..sources.store import Store, load_bodies, resolve_file
 from .lineage import cut, held
 
 OK, ERROR, EMPTY, NO_MATCH, STALE = range(5)
@@ -218,11 +220,27 @@ class Service:
         """A member if any matches, else a type."""
         return self._member(name) or self._type(name)
 
+    def _lines_of_file(self, name: str) -> dict | None:
+        """PATH:LINE or PATH:FIRST-LAST of an indexed file, as a span."""
+        m = re.fullmatch(r"(.+):(\d+)(?:-(\d+))?", name)
+        found = _rows(resolve_file(self.store.read().source_files, m[1])) if m else []
+        return found[0] | {"file_id": found[0]["id"], "start_line": int(m[2]), "end_line": int(m[3] or m[2])} if found else None
+
+    def load_bodies(self, root: str, pattern: str = "*.cs", max_chars: int = 0) -> Answer:
+        """Takes the bodies of indexed files from disk."""
+        if none := self._empty():
+            return none
+        with held():
+            bodies = cut(conform(load_bodies(self.spark, self.store.read().source_files, root, pattern, max_chars), "bodies"))
+            n = bodies.count()
+            self.store.update({"index_body": "1"}, bodies=bodies)
+        return Answer(f"{n} bodies loaded", data={"bodies": n})
+
     def snippet(self, name: str, context: int = 0, max_chars: int = snippets.CHARS, root: str | None = None) -> Answer:
         """The source of a symbol, from indexed bodies or else from disk below ``root``."""
         if none := self._empty():
             return none
-        row = self._symbol(name)
+        row = self._lines_of_file(name) or self._symbol(name)
         if not row or row["start_line"] is None or not row["relative_path"]:
             return Answer(f"no source is known for {name}", NO_MATCH)
         index = self.store.read()
@@ -337,7 +355,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--db")
     p.add_argument("--config")
     verbs = p.add_subparsers(dest="verb", required=True)
-    for verb, names in (("status", ()), ("doctor", ()), ("relations", ("scope", "facts")), ("export", ()), ("quality", ()), ("index", ("facts", "entry")), ("consumers", ("name",)), ("query", ("text",)), ("get", ("name",)), ("snippet", ("name",)), ("callers", ("name",)), ("implementations", ("name",)), ("overrides", ("name", "facts")), ("impact", ("name",)), ("hotspots", ())):
+    for verb, names in (("status", ()), ("doctor", ()), ("relations", ("scope", "facts")), ("bodies", ("root",)), ("export", ()), ("quality", ()), ("index", ("facts", "entry")), ("consumers", ("name",)), ("query", ("text",)), ("get", ("name",)), ("snippet", ("name",)), ("callers", ("name",)), ("implementations", ("name",)), ("overrides", ("name", "facts")), ("impact", ("name",)), ("hotspots", ())):
         v = verbs.add_parser(verb)
         for n in names:
             v.add_argument(n)
@@ -381,7 +399,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         refs = facts.read(spark, a.facts) if getattr(a, "facts", None) else None
         if a.verb == "index":
             said = {k: getattr(a, k) for k in ("include_private", "include_tests", "include_generated", "include_external", "index_body", "full_relations", "changed_only", "max_calls", "relations", "exclude_projects")}
-            answer = s.index(refs, a.entry, config.merged(known, **said))
+            # a path on this machine must be something that can be indexed; others are names
+            entry = config.entry_path(a.entry) if os.path.exists(a.entry) else a.entry
+            answer = s.index(refs, entry, config.merged(known, **said))
         elif a.verb == "query":
             answer = s.query(a.text, a.kind, body=a.body, full=a.full or a.detail == "full", **cap)
         elif a.verb == "get":
@@ -390,6 +410,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             answer = s.overview(a.members, a.limit)
         elif a.verb == "relations":
             answer = s.save_consumers(refs["refs"], a.scope)
+        elif a.verb == "bodies":
+            answer = s.load_bodies(a.root)
         elif a.verb == "status":
             answer = s.status(refs, config.merged(known))
         elif a.verb == "doctor":

@@ -368,3 +368,16 @@ def test_callers_are_kept_on_request(built, spark):
     assert [r["targetId"] for r in index.members.where("id = 'method:Demo.Order.Sum'").first()["consumers"]] == ["method:Demo.App.Main"]
     assert index.edges.where("kind = 'referencedBy'").count() == 1
     assert "App.Main" in s.callers("Sum").text and "Order.Total" in s.callers("Sum").text
+
+
+def test_bodies_from_disk_and_lines_of_files(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "f"))
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "A.cs").write_text("one\ntwo\nthree\n")
+    (tmp_path / "src" / "Empty.cs").write_text("")
+    rows = [(f"file:{n}", "p", f"src\\{n}.cs", f"{tmp_path}/src/{n}.cs") for n in ("A", "Empty", "Gone")]
+    s.write({"source_files": spark.createDataFrame(rows, "id string, project_id string, relative_path string, absolute_path string")})
+    service_ = service.Service(spark, s.path)
+    assert service_.load_bodies(str(tmp_path / "src")).data == {"bodies": 1} and s.has_bodies()
+    assert service_.snippet("src/A.cs:2-3").text == "   2| two\n   3| three" and service_.snippet("src/A.cs:2").data["text"] == "   2| two"
+    assert service_.snippet("src/B.cs:2").code == service.NO_MATCH
