@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import policies
+from ..plans.lineage import tasks
 from ..schema import LOC, REL
 
 CALL_LIMIT = 30
@@ -175,9 +176,15 @@ def scope_targets(types: DataFrame, projects: DataFrame, scope: str) -> DataFram
 
 
 def consumers(refs: DataFrame, targets: DataFrame, limit: int = CONSUMER_LIMIT) -> DataFrame:
-    """(id, consumers) of each target: the types around references to it, by name, without itself, up to a cap."""
-    own = refs.join(targets.select(F.col("id").alias("_t")), refs["target_id"] == F.col("_t"), "left_semi")
-    one = own.where("container_type_id IS NOT NULL AND container_type_id <> target_id").select("target_id", "container_type_id").distinct()
+    """(id, consumers) of each target: the types around references to it, by name, without itself, up to a cap.
+
+    References are spread by target once, over tasks as the input asks for;
+    from there each task has the whole of its targets.
+    """
+    said, asked = refs.where("container_type_id IS NOT NULL AND container_type_id <> target_id").select("target_id", "container_type_id"), targets.select(F.col("id").alias("_t"))
+    n = tasks(said, asked)
+    own = said.repartition(n, "target_id").join(asked.repartition(n, "_t"), F.col("target_id") == F.col("_t"), "left_semi")
+    one = own.distinct()
     name = F.regexp_replace("container_type_id", "^[a-z]+:", "")
     rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.upper(name), "container_type_id"))
     some = one.withColumn("ord", rank).where(F.col("ord") <= limit)

@@ -17,6 +17,8 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Bytes of the files read that a task of a repartition has to do with.
+SHARE = 4 << 20
 _roots: set[str] = set()
 _listening: list[list[str]] = []
 
@@ -45,6 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(*frames: DataFrame) -> int:
+    """Tasks that leave each about ``SHARE`` of the files that these frames read, and at least one for each core.
+
+    For ``repartition``: the number follows the input, as the session's shuffle
+    partitions may not, and adaptive execution joins none of them.  Where a
+    frame comes from no files it is the session's.
+    """
+    spark, read = frames[0].sparkSession, 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        read += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    set_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = min(set_, spark.sparkContext.defaultParallelism)
+    return max(least, set_ if read >= 1 << 60 else min(-(-read // SHARE), 100_000))  # a frame of no files has no size, and says 8 EB
+
+
 def _delete(path: str) -> None:
     jvm, context = SparkContext._jvm, SparkContext._active_spark_context
     p = jvm.org.apache.hadoop.fs.Path(path)

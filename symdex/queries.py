@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import policies, scalars
 from .operators import analytics, catalog, change, extraction, graph, relations, search, snippets
+from .plans.lineage import tasks
 from .sources.star import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,8 +352,12 @@ def implementations_closure(spark, sf_dir):
 _REGISTERED["implementations_closure"] = (implementations_closure, _REGISTERED["implementations_closure"][1].replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MARK ", ""))
 
 
-def _refs(s: Star) -> DataFrame:
+def _refs(s: Star, whole: bool = False) -> DataFrame:
+    """``whole``: for queries that take more than the references to one part."""
     i, o = s.table("lineitem"), s.table("orders").select("o_orderkey", "o_custkey")
+    if whole:
+        n = tasks(i, o)
+        i, o = i.repartition(n, "l_orderkey"), o.repartition(n, "o_orderkey")
     j, key = i.join(o, F.col("l_orderkey") == F.col("o_orderkey")), F.col("l_orderkey")
     kind = F.when(key % 5 == 0, "method").when(key % 5 == 1, "constructor").otherwise("property")
     return j.select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target_id"), F.concat(F.lit("order:"), key.cast("string")).alias("container_id"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("container_type_id"), F.concat(F.lit("Op"), key.cast("string")).alias("display"), F.col("l_returnflag").alias("file"), F.col("l_linenumber").alias("line"), kind.alias("container_kind"), "l_orderkey", "l_linenumber")
@@ -596,8 +601,9 @@ def consumer_scope_targets(spark, sf_dir):
 
 @_query("SELECT target_id AS id, list_sort(array_agg(DISTINCT upper(container_type_id)))[:100] AS consumers FROM refs GROUP BY 1", "refs")
 def consumers_by_type(spark, sf_dir):
-    refs = _refs(Star(spark, sf_dir))
-    targets = refs.select(F.col("target_id").alias("id")).distinct()
+    s = Star(spark, sf_dir)
+    refs = _refs(s, whole=True)
+    targets = s.table("lineitem").select("l_partkey").distinct().select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("id"))  # all that refs can name
     made = extraction.consumers(refs, targets)
     return made.select("id", F.transform("consumers", lambda r: F.upper(r["targetId"])).alias("consumers"))
 
