@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import basename, cut
-from ..functions.stemming import porter, stem
+from ..functions.stemming import porter, stems
 from .catalog import clamp
 
 K1, B = 1.2, 0.75
@@ -41,7 +41,9 @@ def _accents() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    return F.translate(F.lower(text), *_accents())
+    """ASCII, of as many bytes as letters, has no accents, and the translation takes a map lookup for each letter."""
+    plain = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.translate(plain, *_accents()))
 
 
 def folded(text: str) -> str:
@@ -68,14 +70,18 @@ def _tokens(field: str) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str, fields: tuple[str, ...] | list[str], stemmed: bool = True) -> DataFrame:
-    """(token, doc, dl, positions): positions count over all fields, with a gap between two; dl is the document's tokens."""
-    each = [_tokens(f) for f in fields]
+    """(token, doc, dl, positions): positions count over all fields, with a gap between two; dl is the document's tokens.
+
+    A document is split once, and stemmed as one list, so that a search drops
+    the tokens that it doesn't want where they are made.
+    """
     gap = F.array(F.lit(""))
-    whole = F.concat(*[x for a in each for x in (a, gap)][:-1])
-    dl = reduce(lambda a, b: a + b, [F.size(a) for a in each])
-    rows = docs.select(F.col(id_col).alias("doc"), dl.alias("dl"), F.posexplode(whole).alias("pos", "token")).where("token <> ''")
+    whole = F.concat(*[x for f in fields for x in (_tokens(f), gap)][:-1])
+    split = docs.select(F.col(id_col).alias("doc"), whole.alias("tokens"))
     if stemmed:
-        rows = rows.withColumn("token", stem("token"))
+        split = split.withColumn("tokens", stems("tokens"))
+    dl = F.size("tokens") - (len(fields) - 1)
+    rows = split.select("doc", dl.alias("dl"), F.posexplode("tokens").alias("pos", "token")).where("token <> ''")
     return rows.groupBy("token", "doc", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

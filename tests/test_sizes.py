@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from symdex.operators import extraction
+from symdex.functions.stemming import porter
+from symdex.operators import extraction, search
 from symdex.plans import lineage
 
 
@@ -34,3 +35,12 @@ def test_consumers_are_spread_as_the_input_is(spark, tmp_path, small_share):
     got = {r["id"]: [c["targetId"] for c in r["consumers"]] for r in made.collect()}
     want = {t: sorted({c for x, c in rows if x == t and c and c != t}, key=lambda c: (c[5:].upper(), c))[:100] for t in {t for t, _ in rows} - {"type:else"}}
     assert got == want
+
+
+def test_a_search_stems_documents_not_tokens(spark):
+    docs = spark.createDataFrame([("a", "Ordering ordered orders, ÉTÉ relational", None), ("b", "", "x1 ponies"), ("c", None, None)], "id string, name string, summary string")
+    post = search.postings(docs, "id", ("name", "summary"))
+    plan = post._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("ArrowEvalPython")  # split after the stemmer, which takes whole lists
+    got = {(r["token"], r["doc"], r["dl"], tuple(r["positions"])) for r in post.collect()}
+    assert got == {("order", "a", 5, (0, 1, 2)), (porter("ete"), "a", 5, (3,)), (porter("relational"), "a", 5, (4,)), ("x1", "b", 2, (1,)), (porter("ponies"), "b", 2, (2,))}
