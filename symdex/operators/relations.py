@@ -10,6 +10,9 @@ from ..functions.scalars import relation_name
 from ..plans.lineage import cut
 from ..schema import LOC, REL, RELATION_KINDS
 
+#: Rows that a task ranks, about.
+RANKED = 500_000
+
 
 def parse(json: Column) -> Column:
     """A JSON list of relations; null, blank, broken and foreign input gives an empty list."""
@@ -34,11 +37,14 @@ def to_edges(owners: DataFrame) -> DataFrame:
     insertion is (owner, dependencies before consumers, place in the list), and
     ``edge_seq`` counts it without ranking all rows in one task.
     """
-    out = owners.select(F.col("id").alias("owner"), F.lit(0).alias("side"), F.posexplode("dependencies").alias("place", "r"))
-    back = owners.select(F.col("id").alias("owner"), F.lit(1).alias("side"), F.posexplode("consumers").alias("place", "r"))
-    out = out.select("owner", "side", "place", F.col("owner").alias("from_id"), F.col("r.targetId").alias("to_id"), "r.kind", "r.file", "r.line")
-    back = back.select("owner", "side", "place", F.col("r.targetId").alias("from_id"), F.col("owner").alias("to_id"), "r.kind", "r.file", "r.line")
-    rows = out.unionByName(back).where("length(from_id) > 0 AND length(to_id) > 0 AND length(kind) > 0")
+    # one list, exploded once, so that owners aren't made twice
+    def side(name: str, k: int) -> Column:
+        ends = (lambda r: (F.col("id"), r["targetId"])) if k == 0 else (lambda r: (r["targetId"], F.col("id")))
+        made = lambda r, i: F.struct(F.lit(k).alias("side"), i.alias("place"), ends(r)[0].alias("from_id"), ends(r)[1].alias("to_id"), r["kind"].alias("kind"), r["file"].alias("file"), r["line"].alias("line"))
+        return F.transform(F.coalesce(name, F.array().cast(f"array<{REL}>")), made)
+
+    rows = owners.select(F.col("id").alias("owner"), F.inline(F.concat(side("dependencies", 0), side("consumers", 1))))
+    rows = rows.where("length(from_id) > 0 AND length(to_id) > 0 AND length(kind) > 0")
     return sequence(rows, ["owner", "side", "place"]).select("edge_seq", "from_id", "to_id", "kind", "file", "line")
 
 
@@ -47,15 +53,17 @@ def sequence(rows: DataFrame, by: list[str], name: str = "edge_seq") -> DataFram
 
     The order is total over (range of the first column, ``by``), so the first
     column must have many values: rows that share one are ranked in one task.
-    There are as many ranges as shuffle partitions, so that none outgrows a
-    task.  The rows are written once and numbered from there; numbers are given
-    when an index is built, and stored with it.
+    There are 64 ranges, or as many as leave 30 000 rows each where rows are
+    many, and a task ranks some 16 of them.  The rows are written once and
+    numbered from there; numbers are given when an index is built, and stored
+    with it.
     """
-    ranges = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = cut(rows.withColumn("_range", F.pmod(F.xxhash64(by[0]), F.lit(ranges))))
+    kept = cut(rows)
+    n = max(4, -(-kept.count() // RANKED))  # from the files' footers
+    keyed = kept.withColumn("_range", F.pmod(F.xxhash64(by[0]), F.lit(16 * n)))
     counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each range
-    ranked = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*by)))
+    ranked = keyed.repartition(n, "_range").withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*by)))
     return ranked.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_k")).drop("_range", "_before", "_k")
 
 

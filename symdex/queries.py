@@ -250,7 +250,7 @@ def xml_summary(spark, sf_dir):
 @_query("SELECT from_id, to_id, kind, file, line, count(*) AS n FROM (SELECT m.id AS from_id, 'method:Part' || l_partkey AS to_id, 'calls' AS kind, l_returnflag AS file, l_linenumber AS line FROM lineitem l JOIN members m ON l.l_orderkey = m.o_orderkey UNION ALL SELECT 'method:Part' || l_partkey, m.id, 'referencedBy', l_returnflag, l_linenumber FROM lineitem l JOIN members m ON l.l_orderkey = m.o_orderkey WHERE l_returnflag = 'R') GROUP BY ALL", "members")
 def edges_materialize(spark, sf_dir):
     made = relations.to_edges(Star(spark, sf_dir).members.select("id", "dependencies", "consumers"))
-    return made.groupBy("from_id", "to_id", "kind", "file", "line").agg(F.count(F.lit(1)).alias("n"))
+    return made.repartition(tasks(made), "from_id", "to_id").groupBy("from_id", "to_id", "kind", "file", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("SELECT 'event:' || event_id AS from_id, 'user:' || user_id AS to_id, 'calls' AS kind FROM events WHERE event_id % 3 <> 0")

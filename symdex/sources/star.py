@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import tokens_of
 from ..operators.relations import sequence
+from ..plans.lineage import tasks
 from ..schema import REL
 
 #: Files that types and members refer to; every data set has so many documents.
@@ -101,14 +102,20 @@ class Star:
     @cached_property
     def members(self) -> DataFrame:
         """Members with calls to parts, and parts that were returned as consumers, by line and part."""
-        i = self.table("lineitem")
-        part = F.concat(F.lit("method:Part"), F.col("l_partkey").cast("string"))
-        name = F.concat(F.lit("Part"), F.col("l_partkey").cast("string"))
-        call, back = (_rel(kind, part, name, F.col("l_returnflag"), F.col("l_linenumber")) for kind in ("calls", "referencedBy"))
-        place = (F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"))
-        listed = i.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*place, call.alias("r")))).alias("d"), F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == "R", F.struct(*place, back.alias("r"))))).alias("c"))
-        rels = listed.select("l_orderkey", F.col("d.r").alias("dependencies"), F.col("c.r").alias("consumers"))
-        joined = self.orders.join(rels, F.col("orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+        i, o = self.table("lineitem"), self.orders
+        n = tasks(i, o)
+
+        def rels(kind: str, places: Column) -> Column:
+            def one(x: Column) -> Column:
+                name = F.concat(F.lit("Part"), x["p"].cast("string"))
+                return _rel(kind, F.concat(F.lit("method:"), name), name, x["f"], x["n"])
+
+            return F.transform(places, one)
+
+        place = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"))
+        listed = i.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(place)).alias("d"))
+        joined = o.repartition(n, "orderkey").join(listed, F.col("orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+        joined = joined.withColumns({"dependencies": rels("calls", F.col("d")), "consumers": rels("referencedBy", F.filter("d", lambda x: x["f"] == "R"))}).drop("d")
         return joined.withColumns({k: F.coalesce(k, F.array()).cast(_NONE) for k in ("dependencies", "consumers")})
 
     @cached_property

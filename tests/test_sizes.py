@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from symdex.functions.stemming import porter
-from symdex.operators import extraction, search
+from symdex.operators import extraction, relations, search
 from symdex.plans import lineage
+from symdex.schema import REL
 
 
 @pytest.fixture
@@ -44,3 +45,21 @@ def test_a_search_stems_documents_not_tokens(spark):
     assert plan.index("Generate") < plan.index("ArrowEvalPython")  # split after the stemmer, which takes whole lists
     got = {(r["token"], r["doc"], r["dl"], tuple(r["positions"])) for r in post.collect()}
     assert got == {("order", "a", 5, (0, 1, 2)), (porter("ete"), "a", 5, (3,)), (porter("relational"), "a", 5, (4,)), ("x1", "b", 2, (1,)), (porter("ponies"), "b", 2, (2,))}
+
+
+def test_edges_are_made_once_and_numbered_in_tasks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(relations, "RANKED", 100)
+    rel = lambda to, kind: (kind, to, None, None, None, None)
+    data = [(f"o{i}", [rel(f"t{i}", "calls"), rel(f"t{i}", "calls"), rel("", "calls")], [rel(f"c{i % 5}", "referencedBy")] if i % 3 else None) for i in range(500)] + [("none", None, None)]
+    owners = spark.createDataFrame(data, f"id string, dependencies array<{REL}>, consumers array<{REL}>")
+    made = relations.to_edges(owners)
+    assert used(made) > 4
+    got = made.orderBy("edge_seq").collect()
+    assert [r["edge_seq"] for r in got] == list(range(1, len(got) + 1))
+    want = [("o%d" % i, "t%d" % i, "calls") for i in range(500)] * 2 + [("c%d" % (i % 5), "o%d" % i, "referencedBy") for i in range(500) if i % 3]
+    assert sorted((r["from_id"], r["to_id"], r["kind"]) for r in got) == sorted(want)
+    place = {}
+    for r in got:  # dependencies before consumers
+        owner = r["from_id"] if r["kind"] == "calls" else r["to_id"]
+        place.setdefault(owner, []).append(r["kind"])
+    assert all(v == sorted(v) for v in place.values())
