@@ -11,9 +11,9 @@ The pattern is the one of the vocabulary's publisher: contractions, an
 optional space with letters, numbers or other characters, and white space.
 
 Of the pre-tokens of a chunk only distinct ones are merged (lowest rank first,
-leftmost among equals), and a worker remembers the merged ones.  ``offsets``
-has the byte at which each token begins in the text's UTF-8, so a slice of a
-text can be decoded by itself.
+leftmost among equals), and a worker remembers the merged ones, in arrays of
+bounded size.  ``offsets`` has the byte at which each token begins in the
+text's UTF-8, so a slice of a text can be decoded by itself.
 
 Cases: a null text has null ids and offsets; an empty text has empty ones;
 every string round-trips, special tokens' names being ordinary text; rows are
@@ -29,19 +29,21 @@ import base64
 import heapq
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import Chunk, chunks, distinct, ragged, small_batches
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 BLOCK = 256
-REMEMBERED, REMEMBERED_BYTES = 500_000, 64
+#: Pre-tokens remembered, bytes of the longest one, and bytes of all, which have as many ids at most.
+REMEMBERED, REMEMBERED_BYTES, REMEMBERED_ALL = 500_000, 64, 6 << 20
+SLOT_BITS = 21
 NO_PAIR = 1 << 40
 
 # states: what is open after a character
@@ -149,6 +151,50 @@ def pretokens(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(c.data))
 
 
+class Remembered:
+    """Ids of pre-tokens, found by hash and compared by their bytes; some 50 MB when full, then it begins anew."""
+
+    def __init__(self):
+        self.n = 0
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)  # a later pre-token takes an earlier one's slot
+        self.hashes = np.empty(REMEMBERED, np.uint64)
+        self.begins, self.firsts = np.zeros(REMEMBERED + 1, np.int64), np.zeros(REMEMBERED + 1, np.int64)
+        self.bytes, self.ids = np.empty(REMEMBERED_ALL, np.uint8), np.empty(REMEMBERED_ALL, np.int32)
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, c: Chunk, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the spans of a chunk are known, and for those the numbers of ids and all ids."""
+        entry, length = self.slots[self._slot(h)].astype(np.int64), ends - starts
+        known = entry >= 0
+        entry[~known] = 0
+        known &= (self.hashes[entry] == h) & (self.begins[entry + 1] - self.begins[entry] == length)
+        of, k = ragged(np.where(known, length, 0))
+        known[of[c.data[starts[of] + k] != self.bytes[self.begins[entry[of]] + k]]] = False
+        entry = entry[known]
+        size = self.firsts[entry + 1] - self.firsts[entry]
+        of, k = ragged(size)
+        return known, size, self.ids[self.firsts[entry[of]] + k]
+
+    def add(self, h: np.ndarray, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Remembers pre-tokens by their hashes, with the number of ids of each and all ids."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        if self.n + len(words) > REMEMBERED or self.begins[self.n] + len(data) > REMEMBERED_ALL:
+            self.n = 0
+            self.slots.fill(-1)
+        if not len(words) or len(words) > REMEMBERED or len(data) > REMEMBERED_ALL:
+            return
+        n, end = self.n, self.n + len(words)
+        self.slots[self._slot(h)] = np.arange(n, end)
+        self.hashes[n:end] = h
+        for at, size, into, what in ((self.begins, [len(w) for w in words], self.bytes, data), (self.firsts, sizes, self.ids, ids)):
+            at[n + 1 : end + 1] = at[n] + np.cumsum(size)
+            into[at[n] : at[end]] = what
+        self.n = end
+
+
 class Vocabulary:
     """Ranks of byte strings, which are their ids."""
 
@@ -159,9 +205,8 @@ class Vocabulary:
         for b, i in ranks.items():
             tokens[i] = b
         self.lengths = np.array([len(b) for b in tokens], np.int64)
-        self.begins = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.known: dict[bytes, list[int]] = {}
+        self.tokens = pa.array(tokens, pa.large_binary())
+        self.known = Remembered()
         pairs = sorted((ranks[b[:k]] << 32 | ranks[b[k:]], i) for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks)
         self.pairs = np.array([p for p, _ in pairs] + [1 << 62], np.int64)
         self.merged = np.array([i for _, i in pairs] + [NO_PAIR], np.int64)
@@ -174,7 +219,13 @@ class Vocabulary:
         return np.where(self.pairs[at] == key, self.merged[at], NO_PAIR)
 
     def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of many short pre-tokens: each round merges the best pair of every word that has one."""
+        """Ids of each of many short pre-tokens."""
+        sizes, ids = self._merge_short(words)
+        flat, cuts = ids.tolist(), np.cumsum(sizes).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and all ids of many short pre-tokens: each round merges the best pair of every word that has one."""
         size = np.array([len(w) for w in words])
         n, width = len(words), int(size.max()) + 1
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -205,8 +256,7 @@ class Vocabulary:
             has = p >= 0
             r, p = row[has], p[has]
             rank[r, p] = self._rank(ids[r, p], new[has])
-        flat, cuts = ids[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
-        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+        return alive.sum(axis=1), ids[alive]
 
     def _merge_long(self, word: bytes) -> list[int]:
         """Ids of one pre-token of any length, with a heap over a linked list: n log n."""
@@ -229,28 +279,40 @@ class Vocabulary:
                 heapq.heappush(heap, (r, p, i, k))
         return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
-    def words(self, each: list[bytes]) -> list[list[int]]:
-        """Ids of distinct pre-tokens, from what is remembered where possible."""
-        found = [self.known.get(b) for b in each]
-        new = [k for k, ids in enumerate(found) if ids is None]
-        short = []
-        for k in new:
-            b = each[k]
+    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and all ids of distinct pre-tokens."""
+        parts, order, short = [], [], []
+        for k, b in enumerate(words):
             if b in self.ranks:
-                found[k] = [self.ranks[b]]
+                own = [self.ranks[b]]
             elif len(b) > REMEMBERED_BYTES:
-                found[k] = self._merge_long(b)
+                own = self._merge_long(b)
             else:
                 short.append(k)
-        short.sort(key=lambda k: len(each[k]))
+                continue
+            order.append(k)
+            parts.append(([len(own)], own))
+        short.sort(key=lambda k: len(words[k]))
         for at in range(0, len(short), 4096):  # words of like length together
-            part = short[at : at + 4096]
-            for k, ids in zip(part, self.merge_all([each[k] for k in part])):
-                found[k] = ids
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self.known.update((each[k], found[k]) for k in new if len(each[k]) <= REMEMBERED_BYTES)
-        return found
+            order += short[at : at + 4096]
+            parts.append(self._merge_short([words[k] for k in short[at : at + 4096]]))
+        sizes, ids = (np.concatenate([np.asarray(p[i], np.int64) for p in parts]) for i in (0, 1))
+        return _picked(sizes, ids, np.argsort(order))
+
+    def words(self, c: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and all ids of a chunk's distinct pre-tokens, from what is remembered where possible."""
+        h = c.hashes(starts, ends)
+        known, sizes, ids = self.known.find(c, starts, ends, h)
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return sizes, ids
+        whole = c.data.tobytes()
+        words = [whole[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist())]
+        new_sizes, new_ids = self._merge(words)
+        short = ends[new] - starts[new] <= REMEMBERED_BYTES
+        self.known.add(h[new[short]], [w for w in words if len(w) <= REMEMBERED_BYTES], new_sizes[short], new_ids[np.repeat(short, new_sizes)])
+        order = np.argsort(np.concatenate([np.flatnonzero(known), new]), kind="stable")
+        return _picked(np.concatenate([sizes, new_sizes]), np.concatenate([ids, new_ids]), order)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of each text; all ids; the byte of its text at which each token begins."""
@@ -260,27 +322,46 @@ class Vocabulary:
             if not len(starts):
                 continue
             first, which = distinct(c, starts, ends)
-            whole = c.data.tobytes()
-            words = self.words([whole[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())])
-            size = np.array([len(w) for w in words], np.int64)
-            flat = np.fromiter(chain.from_iterable(words), np.int32, int(size.sum()))
-            begin = np.cumsum(size) - size
-            of, k = ragged(size[which])
-            own = flat[begin[which][of] + k]
+            _, own = _picked(*self.words(c, starts[first], ends[first]), which)
             at = np.cumsum(self.lengths[own]) - self.lengths[own]  # tokens tile the chunk's bytes
             row = c.row_of(at)
             counts[c.first : c.first + c.rows] = np.bincount(row, minlength=c.rows)
-            ids.append(own)
+            ids.append(own.astype(np.int32))
             offsets.append((at - c.starts[row]).astype(np.int32))
         none = np.zeros(0, np.int32)
         return counts, np.concatenate(ids or [none]), np.concatenate(offsets or [none])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of a run of ids."""
+    def _tokens(self, ids: np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
+        """Where each token of a run of ids begins, with the end of the last, and the run's bytes."""
         if len(ids) and not (0 <= ids.min() and ids.max() < len(self.lengths)):
             raise ValueError("id outside the vocabulary")
-        of, k = ragged(self.lengths[ids])
-        return self.bytes[self.begins[ids][of] + k].tobytes()
+        if not len(ids):
+            return np.zeros(1, np.int64), pa.py_buffer(b"")
+        _, cuts, data = self.tokens.take(pa.array(ids)).buffers()
+        return np.frombuffer(cuts, np.int64)[: len(ids) + 1], data
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of a run of ids."""
+        cuts, data = self._tokens(ids)
+        return data.slice(0, int(cuts[-1])).to_pybytes()
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray, missing: np.ndarray) -> pa.Array:
+        """The texts that runs of ids stand for, as strings; ``ends`` has 0 and where each run ends."""
+        cuts, data = self._tokens(ids)
+        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(cuts[ends].tobytes()), data])
+        if missing.any():
+            made = pc.if_else(pa.array(missing), None, made)
+        try:
+            return made.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that aren't UTF-8
+            return pa.array([None if b is None else b.decode(errors="replace") for b in made.to_pylist()], pa.string())
+
+
+def _picked(sizes: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of groups in a row, with their sizes and values, those at ``which``, in that order."""
+    begins = np.cumsum(sizes) - sizes
+    of, k = ragged(sizes[which])
+    return sizes[which], values[begins[which[of]] + k]
 
 
 @lru_cache(2)
@@ -293,20 +374,28 @@ def load(path: str) -> Vocabulary:
 _ENCODED = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("offsets", T.ArrayType(T.IntegerType()))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids, offsets of each row."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids, offsets of each row, and if asked for, as decoded, the text that its ids stand for.
+
+    The ids are decoded by the worker that made them: a worker of its own for that holds the vocabulary
+    once more, and the ids and offsets would go to it and wait for its answer.
+    """
     small_batches(docs.sparkSession)
+    kind = T.StructType([*_ENCODED.fields, T.StructField("decoded", T.StringType())]) if decoded else _ENCODED
 
-    @F.arrow_udf(_ENCODED)
+    @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        counts, ids, offsets = load(path).encode(texts)
-        cuts = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (ids, offsets)]
-        return pa.StructArray.from_arrays(lists, ["ids", "offsets"], mask=texts.is_null())
+        v, missing = load(path), np.asarray(texts.is_null())
+        counts, ids, offsets = v.encode(texts)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (ids, offsets)]
+        if decoded:
+            made.append(v.texts(ids, ends, missing))
+        return pa.StructArray.from_arrays(made, kind.names, mask=pa.array(missing))
 
     made = docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("e"))
     n = F.when(F.col("e.ids").isNotNull(), F.size("e.ids"))
-    return made.select("doc_id", n.alias("n_tokens"), F.col("e.ids").alias("ids"), F.col("e.offsets").alias("offsets"))
+    return made.select("doc_id", n.alias("n_tokens"), *[F.col(f"e.{c}").alias(c) for c in kind.names])
 
 
 def with_decoded(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -315,10 +404,11 @@ def with_decoded(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFra
 
     @F.arrow_udf(T.StringType())
     def run(ids: pa.Array) -> pa.Array:
-        v, flat = load(path), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        whole = v.decode(flat)
-        ends = np.concatenate([[0], np.cumsum(v.lengths[flat])])[np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))]).astype(np.int64)].tolist()
-        return pa.array([whole[i:j].decode(errors="replace") if ok else None for i, j, ok in zip(ends, ends[1:], np.asarray(ids.is_valid()).tolist())], pa.string())
+        flat = ids.flatten()
+        if flat.null_count:
+            raise ValueError("id outside the vocabulary")
+        ends = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)), dtype=np.int64)])
+        return load(path).texts(flat.to_numpy(), ends, np.asarray(ids.is_null()))
 
     return encoded.withColumn("decoded", run(F.col(ids_col)))
 

@@ -49,8 +49,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer("byte_bpe_50k.tiktoken")
-    return byte_bpe.with_decoded(byte_bpe.encode(_read(spark, sf_dir, "documents"), path), path)
+    return byte_bpe.encode(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), decoded=True)
 
 
 def op8_simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 from hashlib import sha256
 from html.parser import HTMLParser
@@ -16,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symdex.llm import byte_bpe, fingerprints, html_extract, license_scan, queries, token_counts, url_filter
+from symdex.llm.kernel import Chunk
 
 from .frames import CLASHES, LONG, ODD, docs, multiset, with_clashes, words
 
@@ -505,6 +507,48 @@ def test_the_query_decodes_every_row(spark, sf_dir):
     assert multiset(got.collect()) == multiset(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
 
 
+@needs_tokenizers
+def test_the_query_decodes_where_it_encodes(spark, sf_dir):
+    plan = queries.op7_byte_bpe(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # a second one would hold the vocabulary once more in each task
+    rows = ODD + list(enumerate(bpe_texts(4), 100))
+    df = with_clashes(docs(spark, rows))
+    got = byte_bpe.encode(df, BPE, decoded=True)
+    assert multiset(got.select("doc_id", "decoded").collect()) == Counter(rows)
+    assert multiset(got.drop("decoded").collect()) == multiset(byte_bpe.encode(df, BPE).collect())
+    assert byte_bpe.encode(df.limit(0), BPE, decoded=True).count() == 0
+
+
+@needs_tokenizers
+def test_what_is_remembered_takes_no_more_memory(encoding):
+    v, r = byte_bpe.load.__wrapped__(BPE), random.Random(6)
+    texts = pa.array([" ".join("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(100)) for _ in range(1500)])
+    v.encode(texts[:10])
+    tracemalloc.start()
+    for at in range(0, len(texts), 100):
+        v.encode(texts[at : at + 100])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 5_000_000  # 150 000 words; 44 MB as lists by word
+
+
+@needs_tokenizers
+@pytest.mark.parametrize("change", [{"SLOT_BITS": 4}, {"REMEMBERED": 30}, {"REMEMBERED_ALL": 100}, {"CHUNK_BYTES": 50}, {}])
+def test_what_is_remembered_changes_no_id(encoding, monkeypatch, change):
+    for name, value in change.items():
+        monkeypatch.setattr(byte_bpe, name, value)
+    if not change:  # as if unequal words had one hash
+        hashes = Chunk.hashes
+        monkeypatch.setattr(Chunk, "hashes", lambda *a: hashes(*a) & np.uint64(3))
+    v, texts = byte_bpe.load.__wrapped__(BPE), bpe_texts(7)
+    for part in (texts[:200], texts, [], ["", None], texts[::-1]):
+        counts, ids, _ = v.encode(pa.array(part, pa.string()))
+        cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [encoding.encode_ordinary(t or "") for t in part]
+        missing = np.array([t is None for t in part], bool)
+        assert v.texts(ids, np.array(cuts), missing).to_pylist() == part
+
+
 def test_slices_decode_by_their_offsets(spark):
     text = "One naïve café, 日本語 and more words. " * 20
     r = byte_bpe.encode(docs(spark, [(1, text)]), BPE).first()
